@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import lookalike
+from textquarry.llm import encoding, lookalike
 from textquarry.llm.common import table
 
 
@@ -15,5 +15,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found}
+def _dictionaries(spark: SparkSession, d: str) -> dict[str, bytes]:
+    return encoding.train(
+        table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "lang"),
+        table(spark, d, "parsed_documents").where("source_type = 'html'").select(F.col("doc_id").alias("key"), "text"),
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    dictionaries = _dictionaries(spark, d)
+    parsed = encoding.garbled_cases(table(spark, d, "parsed_documents"), "doc_id", "text", dictionaries)
+    titles = encoding.garbled_cases(table(spark, d, "documents"), "doc_id", "title", dictionaries)
+    return parsed.select(F.lit("parsed_documents").alias("tbl"), F.col("key").alias("rec_key")).unionByName(
+        titles.select(F.lit("documents").alias("tbl"), F.col("key").alias("rec_key"))
+    )
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
