@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import encoding, lookalike
+from textquarry.llm import boilerplate, encoding, lookalike
 from textquarry.llm.common import table
 
 
@@ -15,6 +15,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = boilerplate.furniture_lines(table(spark, d, "parsed_documents"))
+    return found.select(F.col("key").alias("doc_id"), "line_no")
+
+
 def _dictionaries(spark: SparkSession, d: str) -> dict[str, bytes]:
     return encoding.train(
         table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "lang"),
@@ -31,5 +36,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
