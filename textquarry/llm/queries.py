@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import boilerplate, encoding, lookalike
+from textquarry.llm import boilerplate, encoding, lookalike, scans
 from textquarry.llm.common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise_cases(table(spark, d, "parsed_documents"), table(spark, d, "media"))
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_text(table(spark, d, "parsed_documents"), table(spark, d, "media"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_cases(table(spark, d, "chunks"), "chunk_id", ["title", "text"]).select(
         F.col("key").alias("chunk_id"), "fld"
@@ -36,5 +44,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
