@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import boilerplate, encoding, lookalike, scans
+from textquarry.llm import boilerplate, encoding, lookalike, neardup, scans
 from textquarry.llm.common import table
 
 
@@ -28,6 +28,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "line_no")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neardup.members(table(spark, d, "chunks"), "chunk_id", "text")
+    return neardup.grouped_pairs(found).select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk once with its group; a chunk without near-duplicate is a group of its own."""
+    chunks = table(spark, d, "chunks")
+    found = neardup.members(chunks, "chunk_id", "text").select(F.col("key").alias("chunk_id"), "grp").distinct()
+    own = F.xxhash64("text").alias("own")
+    return (
+        chunks.select("chunk_id", own)
+        .distinct()
+        .join(found, "chunk_id", "left")
+        .select("chunk_id", F.coalesce("grp", "own").alias("group_id"))
+    )
+
+
 def _dictionaries(spark: SparkSession, d: str) -> dict[str, bytes]:
     return encoding.train(
         table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "lang"),
@@ -44,5 +62,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found}
 SQL: dict[str, str] = {}
