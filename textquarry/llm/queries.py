@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import boilerplate, encoding, lookalike, neardup, scans
+from textquarry.llm import boilerplate, encoding, lookalike, neardup, scans, spam
 from textquarry.llm.common import table
 
 
@@ -62,5 +62,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents")).select(F.col("key").alias("doc_id")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
