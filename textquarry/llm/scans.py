@@ -9,7 +9,7 @@ All steps are DataFrame operations over the lines of the records:
   header as well; this finds headers of single pages and badly recognised ones.
 * *Misread words.* Words are grouped by a skeleton in which glyphs that scanners confuse are equal.
   A word is misread if another form of its skeleton is :data:`DOMINANCE` times as frequent over all
-  records; where two frequent forms compete, the one seen after the same previous word is chosen.
+  records; the words around it keep their lines, so a form is only chosen from words of the corpus.
 * *Broken words.* A line that ends with a hyphen is joined with the next body line, be it on the
   next page, unless the hyphenated form of the whole word is more frequent than the joined one.
 * *Reflow.* Windows over the body lines number the paragraphs: a blank line or a sentence's end on
@@ -21,10 +21,15 @@ twice is taken once (by key); results are distinct. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import cut
+from textquarry.llm.common import store
 
 #: a form must be so many times as frequent as the word it replaces, and occur so often
 DOMINANCE, ENOUGH = 8, 5
@@ -49,10 +54,23 @@ _NUMBER_LINE = "|".join(
 )
 _NUMBERED = rf"^{_NUM}\s{{3,}}\S|\S\s{{3,}}{_NUM}$|\S · {_NUM}$|\S / \S{{1,4}} {_NUM}$"
 _TITLE = r"^\p{Lu}[^.;!?]* – [^.;!?]* / |^[^.;!?]*: [^.;!?]* \(lib|^[^.;!?,]* \d+\.\d+, [^.;!?,]*$|^\S+的\S+：\S+$|^\S+与\S+( \d+\.\d+)?$"
-_ENDS = r"""[.!?:;,。！？：；，、)\]）”"'»…]$"""
-_WORD = r"[\p{IsLatin}\p{IsCyrillic}\p{Nd}|]+"
-_HAN_WINDOW = rf"\p{{IsHan}}?[{HAN}{HAN_AS}]\p{{IsHan}}?"
-_FULL_WORD = r"[\p{L}\p{N}]+(?:[-‐'’][\p{L}\p{N}]+)*"
+_ENDS = ".!?:;,。！？：；，、)]）”\"'»…"
+#: numbers, addresses and words that no writer would write: letters in numbers and the reverse
+_IMPOSSIBLE = (
+    r"(?<![\p{L}\p{N}])(?:Ox[0-9a-f]+|0x[0-9a-f]*[OolISZ][0-9a-zA-Z]*)(?![\p{L}\p{N}])"
+    r"|(?<![\p{L}\p{N}.])(?:\d+[OolIS]+\d*|[OlIS]+\d+[OlIS\d]*)(?![\p{L}\p{N}])"
+    r"|(?<![\p{L}\p{N}])\p{Ll}{2,}[01569]\p{Ll}+(?!\p{N})"
+)
+_HAN_CHAR = re.compile("[一-鿿]")
+_HAN_WINDOWS = re.compile(f"[一-鿿]?[{HAN}{HAN_AS}][一-鿿]?")
+_ASCII_ENDS = re.compile(r"^[!-~]+|[!-~]+$")
+_LAST_PART = re.compile(rf"\S+[{HYPHENS}]$")
+_COMPOUND = re.compile(r"[^\W_]+(?:[-‐'’][^\W_]+)+")
+_CAMEL = re.compile(r"(?<=[a-zß-öø-ÿа-яё])(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])")
+_WORDS = re.compile(r"[0-9A-Za-zÀ-ɏЀ-ӿ|]+")
+_LETTER = re.compile(r"[^\W\d_]")
+#: addresses and registers
+_NAME = re.compile(r"[0O]x|[a-z]\d{1,2}$")
 
 REC = ["tbl", "rec_key"]
 
@@ -91,10 +109,10 @@ def page_lines(recs: DataFrame) -> DataFrame:
     w = Window.partitionBy(*REC).orderBy("line_no")
     whole = Window.partitionBy(*REC)
     lines = (
-        recs.select(*REC, "title", "pages", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+        recs.withColumn("title_skel", skeleton(F.col("title"))).select(*REC, "title_skel", "pages", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
         .withColumn("s", F.trim(F.regexp_replace("raw", r"[\f\t\r]", " ")))
         .where("s <> ''")
-        .withColumn("number", F.col("s").rlike(_NUMBER_LINE))
+        .withColumn("number", (F.char_length("s") <= 24) & F.col("s").rlike(_NUMBER_LINE))
         .withColumn("blank_before", F.col("line_no") - F.lag("line_no", 1, -2).over(w) > 1)
         .withColumn("top", F.col("blank_before") | F.col("raw").startswith("\f") | F.coalesce(F.lag("number").over(w), F.lit(False)))
         .withColumn("bottom", F.coalesce(F.lead("top").over(w), F.lit(True)) | F.coalesce(F.lead("number").over(w), F.lit(False)))
@@ -102,7 +120,7 @@ def page_lines(recs: DataFrame) -> DataFrame:
         .withColumn("bottom2", F.coalesce(F.lead("bottom").over(w), F.lit(False)))
         .withColumn("next", F.lead("s").over(w))
         .withColumn("edge", F.expr("top or bottom or top2 or bottom2"))
-        .withColumn("open", ~F.col("s").rlike(_ENDS) & (F.char_length("s") <= 90))
+        .withColumn("open", (F.char_length("s") <= 90) & ~F.contains(F.lit(_ENDS), F.right("s", F.lit(1))))
         .withColumn("m", F.when(F.col("edge") & F.col("open") & ~F.col("number"), _mask(F.col("s"))))
     )
     again = Window.partitionBy(*REC, "m")
@@ -119,132 +137,163 @@ def page_lines(recs: DataFrame) -> DataFrame:
     room = F.char_length("s") + next_word <= F.col("width") - 3  # the next word would have fitted
     alike = F.exists("known", lambda k: F.levenshtein(k, F.col("m")) <= F.greatest(F.lit(1), F.char_length(k) / 4))
     capitals = (F.upper("s") == F.col("s")) & (F.lower("s") != F.col("s")) & F.col("s").rlike(r"\p{Lu}{4}") & ~han
-    of_title = (F.char_length("s") >= 4) & F.startswith(skeleton(F.col("title")), skeleton(F.col("s")))
+    of_title = (F.char_length("s") >= 4) & F.startswith(F.col("title_skel"), skeleton(F.col("s")))
     head = F.col("top") & F.col("next").isNotNull() & room
     titled = (F.col("top") | F.col("bottom") | F.col("top2") | F.col("bottom2")) & (
         F.col("s").rlike(_NUMBERED)
         | ((F.col("top") | F.col("bottom")) & (capitals | F.coalesce(of_title, F.lit(False))))
         | ((F.char_length("s") <= 60) & F.col("s").rlike(_TITLE) & (F.col("top") | F.col("top2")))
     )
-    return lines.withColumn(
+    lines = lines.withColumn(
         "furniture",
         F.coalesce(F.col("number") | (F.col("open") & F.col("edge") & (F.col("repeated") | alike | head | titled)), F.lit(False)),
-    ).select(*REC, "line_no", "s", "blank_before", "width", "furniture")
-
-
-def _judged(body: DataFrame) -> Column:
-    """The words of a line that can be judged: Han lines are cut within words, so not at their ends."""
-    s = F.regexp_replace("s", r"(?<=\p{Ll})(?=\p{Lu})", " ")
-    inner = F.when(F.col("s").rlike(r"\p{IsHan}"), F.regexp_replace(s, r"^[\x21-\x7e]+|[\x21-\x7e]+$", " ")).otherwise(
-        F.regexp_replace(s, rf"\S+[{HYPHENS}]$", " ")
     )
-    latin = F.filter(
-        F.regexp_extract_all(inner, F.lit(_WORD), F.lit(0)),
-        lambda x: x.rlike(r"\p{L}") & ~x.rlike(r"^[0O]x|^[a-z]\d{1,2}$") & ((F.char_length(x) >= 4) | x.rlike(r"\d|\|")),
+    # the split word at the end of a body line: what stands before the hyphen and opens the next body line
+    following = F.lead("s").over(Window.partitionBy(*REC, "furniture").orderBy("line_no"))
+    hyphened = F.contains(F.lit(HYPHENS), F.right("s", F.lit(1))) & ~F.col("furniture")
+    return (
+        lines.withColumn("a", F.when(hyphened, F.regexp_extract("s", rf"([\p{{L}}\p{{N}}'’-]*\p{{L}})[{HYPHENS}]$", 1)))
+        .withColumn("b", following)
+        .withColumn("b", F.when(hyphened, F.regexp_extract("b", r"^(\p{L}[\p{L}\p{N}'’-]*)", 1)))
+        .withColumn("id", F.monotonically_increasing_id())
+        .select("id", *REC, "line_no", "s", "blank_before", "width", "furniture", "a", "b")
     )
-    return F.concat(latin, F.regexp_extract_all("s", F.lit(_HAN_WINDOW), F.lit(0)))
+
+
+def judged_words(s: str) -> list[str]:
+    """The distinct words of a line that can be judged, compounds as a whole as well.
+
+    Lines of Han text are cut within words, so their ends are left out; so is a hyphened last word.
+    """
+    if _HAN_CHAR.search(s):
+        found = _HAN_WINDOWS.findall(s)
+        inner = _ASCII_ENDS.sub(" ", s)
+    else:
+        found, inner = [], _LAST_PART.sub(" ", s)
+        if "-" in inner or "‐" in inner:
+            found = [w.replace("‐", "-") for w in _COMPOUND.findall(inner)]
+    for w in _WORDS.findall(_CAMEL.sub(" ", inner)):
+        if len(w) >= 4 and w.isalpha() or not w.isdigit() and _LETTER.search(w) and not _NAME.match(w) and (len(w) >= 4 or not w.isalpha()):
+            found.append(w)
+    return list(dict.fromkeys(found))
 
 
 def words_of(body: DataFrame) -> DataFrame:
-    """(tbl, rec_key, line_no, word): the distinct judged words of each line."""
-    return body.select(*REC, "line_no", F.explode(F.array_distinct(_judged(body))).alias("word"))
+    """(id, word): the distinct judged words of each line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [judged_words(s) for s in b["s"]]
+            n = np.fromiter(map(len, words), np.int64, len(words))
+            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), n), "word": [w for ws in words for w in ws]})
+
+    return body.select("id", "s").mapInPandas(run, "id bigint, word string").repartition("word")
+
 
+def word_counts(words: DataFrame) -> DataFrame:
+    """(word, n, skel, low) of all words, written once."""
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    return store(counted.withColumn("skel", skeleton(F.col("word"))).withColumn("low", F.lower("word")))
 
-def misread_words(body: DataFrame) -> DataFrame:
-    """(word, form): each misread word with the frequent form of its skeleton."""
-    counted = words_of(body).groupBy("word").agg(F.count("*").alias("n"))
-    form = counted.withColumn("skel", skeleton(F.col("word"))).withColumn("low", F.lower("word"))
-    low = form.groupBy("skel", "low").agg(F.sum("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("form"))
+
+def misread_words(counted: DataFrame) -> DataFrame:
+    """(word, form): each misread word with the frequent form of its skeleton.
+
+    Of several frequent forms the most frequent one counts; a form that is itself frequent enough
+    is never replaced.
+    """
+    low = counted.groupBy("skel", "low").agg(F.sum("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("form"))
     best = low.groupBy("skel").agg(F.max(F.struct("n", "low", "form")).alias("best"), F.count("*").alias("forms"))
-    return (
+    bad = (
         low.join(best.where("forms > 1"), "skel")
         .where((F.col("best.low") != F.col("low")) & (F.col("best.n") >= F.greatest(F.lit(ENOUGH), DOMINANCE * F.col("n"))))
-        .select("low", F.col("best.form").alias("form"))
+        .select("skel", "low", F.col("best.form").alias("form"))
     )
+    return counted.join(bad, ["skel", "low"]).select("word", "form")
 
 
-def _impossible(s: Column) -> Column:
-    """A number, address or word that no writer would write: letters in numbers and the reverse."""
-    return (
-        s.rlike(r"(?<![\p{L}\p{N}])(?:Ox[0-9a-f]+|0x[0-9a-f]*[OolISZ][0-9a-zA-Z]*)(?![\p{L}\p{N}])")
-        | s.rlike(r"(?<![\p{L}\p{N}.])(?:\d+[OolIS]+\d*|[OlIS]+\d+[OlIS\d]*)(?![\p{L}\p{N}])")
-        | s.rlike(r"(?<![\p{L}\p{N}])\p{Ll}{2,}[01569]\p{Ll}+(?![\p{N}])")
-    )
-
-
-def broken_words(body: DataFrame) -> DataFrame:
-    """(tbl, rec_key, line_no, joined) of each body line whose last word goes on in the next one."""
-    w = Window.partitionBy(*REC).orderBy("line_no")
-    ends = (
-        body.withColumn("next_s", F.lead("s").over(w))
-        .withColumn("a", F.regexp_extract("s", rf"([\p{{L}}\p{{N}}'’-]*\p{{L}})[{HYPHENS}]$", 1))
-        .withColumn("b", F.regexp_extract("next_s", r"^(\p{L}[\p{L}\p{N}'’-]*)", 1))
-        .where("a <> '' and b <> ''")
-        .select(*REC, "line_no", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("kept"))
-    )
-    text = F.regexp_replace("s", rf"\S+[{HYPHENS}]$", "")
-    vocabulary = body.select(F.explode(F.regexp_extract_all(text, F.lit(_FULL_WORD), F.lit(0))).alias("word"))
-    vocabulary = vocabulary.groupBy("word").agg(F.count("*").alias("n"))
-    wanted = ends.select(F.explode(F.array(skeleton(F.col("joined")), skeleton(F.col("kept")))).alias("skel")).distinct()
-    counts = vocabulary.select(skeleton(F.translate("word", "‐", "-")).alias("skel"), "n").join(wanted, "skel", "left_semi")
-    counts = counts.groupBy("skel").agg(F.sum("n").alias("n"))
+def broken_words(body: DataFrame, counted: DataFrame) -> DataFrame:
+    """(id, joined) of each body line whose last word goes on in the next one."""
+    ends = body.where("a <> '' and b <> ''").select("id", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("kept"))
+    ends = ends.withColumn("joined_skel", skeleton(F.col("joined"))).withColumn("kept_skel", skeleton(F.col("kept")))
+    wanted = ends.select(F.explode(F.array("joined_skel", "kept_skel")).alias("skel")).distinct()
+    counts = counted.join(wanted, "skel", "left_semi").groupBy("skel").agg(F.sum("n").alias("n"))
     one = counts.select(F.col("skel").alias("joined_skel"), F.col("n").alias("n_joined"))
     two = counts.select(F.col("skel").alias("kept_skel"), F.col("n").alias("n_kept"))
     return (
-        ends.withColumn("joined_skel", skeleton(F.col("joined")))
-        .withColumn("kept_skel", skeleton(F.col("kept")))
-        .join(one, "joined_skel", "left")
+        ends.join(one, "joined_skel", "left")
         .join(two, "kept_skel", "left")
         .where(F.coalesce("n_kept", F.lit(0)) <= F.coalesce("n_joined", F.lit(0)))
-        .select(*REC, "line_no", "joined")
+        .select("id", "joined")
     )
 
 
 def noise_cases(parsed: DataFrame, media: DataFrame) -> DataFrame:
     """(tbl, rec_key, line_no, kind): every line that is furniture, broken or misread; distinct."""
-    lines = cut(page_lines(records(parsed, media)))
+    lines = store(page_lines(records(parsed, media)))
     body = lines.where("not furniture")
-    odd = misread_words(body)
-    with_word = words_of(body).withColumn("low", F.lower("word")).join(odd, "low", "left_semi").select(*REC, "line_no")
-    misread = with_word.unionByName(body.where(_impossible(F.col("s"))).select(*REC, "line_no")).distinct()
-    kinds = {"furniture": lines.where("furniture"), "broken": broken_words(body), "misread": misread}
-    out = None
-    for kind, df in kinds.items():
-        part = df.select(*REC, F.col("line_no").cast("bigint").alias("line_no"), F.lit(kind).alias("kind"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    words = words_of(body)
+    counted = word_counts(words)
+    by_word = words.join(misread_words(counted), "word", "left_semi").select("id")
+    misread = by_word.unionByName(body.where(F.col("s").rlike(_IMPOSSIBLE)).select("id")).distinct()
+    kinds = misread.select("id", F.lit("misread").alias("kind")).unionByName(
+        broken_words(body, counted).select("id", F.lit("broken").alias("kind"))
+    )
+    place = [*REC, F.col("line_no").cast("bigint").alias("line_no")]
+    return (
+        lines.select("id", *place)
+        .join(kinds, "id")
+        .select(*REC, "line_no", "kind")
+        .unionByName(lines.where("furniture").select(*place, F.lit("furniture").alias("kind")))
+    )
 
 
 def repaired_text(parsed: DataFrame, media: DataFrame) -> DataFrame:
     """(tbl, rec_key, text): each record as continuous paragraphs, separated by blank lines."""
-    lines = cut(page_lines(records(parsed, media)))
+    lines = store(page_lines(records(parsed, media)))
     body = lines.where("not furniture")
-    odd = misread_words(body)
+    words = words_of(body)
+    counted = word_counts(words)
     swaps = (
-        words_of(body)
-        .withColumn("low", F.lower("word"))
-        .join(odd, "low")
-        .groupBy(*REC, "line_no")
+        words.join(misread_words(counted), "word")
+        .groupBy("id")
         .agg(F.map_from_entries(F.collect_set(F.struct("word", "form"))).alias("swap"))
     )
-    parts = F.regexp_extract_all("s", F.lit(rf"{_HAN_WINDOW}|\p{{Lu}}*[\p{{IsLatin}}\p{{IsCyrillic}}\p{{Nd}}|&&[^\p{{Lu}}]]+|(?s:.)"), F.lit(0))
-    fixed = F.array_join(F.transform(parts, lambda p: F.coalesce(F.col("swap")[p], p)), "")
-    broken = broken_words(body).select(*REC, "line_no", F.lit(True).alias("broken"))
+    broken = broken_words(body, counted).select("id", F.lit(True).alias("broken"))
+
+    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            swap = [None if x is None else dict(x) for x in b["swap"]]
+            b["t"] = [s if not m else _swapped(s, m) for s, m in zip(b["s"], swap, strict=True)]
+            yield b.drop(columns=["swap"])
+
+    joined = body.join(swaps, "id", "left").join(broken, "id", "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
+    fields = ["tbl", "rec_key", "line_no", "s", "blank_before", "width", "broken"]
+    kinds = dict(joined.dtypes)
+    fixed = joined.select(*fields, "swap").mapInPandas(fix, ", ".join(f"{c} {kinds[c]}" for c in fields) + ", t string")
     w = Window.partitionBy(*REC).orderBy("line_no")
+    end = F.col("s").rlike(r"""[.!?:。！？：][)”"'»）]*$""")
     flowing = (
-        body.join(swaps, [*REC, "line_no"], "left")
-        .join(broken, [*REC, "line_no"], "left")
-        .withColumn("t", F.when(F.col("swap").isNotNull(), fixed).otherwise(F.col("s")))
-        .withColumn("broken", F.coalesce("broken", F.lit(False)))
-        .withColumn("t", F.when(F.col("broken"), F.expr("left(t, char_length(t) - 1)")).otherwise(F.col("t")))
-        .withColumn("ended", F.lag(F.col("s").rlike(r"""[.!?:。！？：][)”"'»）]*$""") & (F.char_length("s") < 0.85 * F.col("width"))).over(w))
-        .withColumn("blank_end", F.col("blank_before") & F.lag(F.col("s").rlike(r"""[.!?:。！？：][)”"'»）]*$""")).over(w))
-        .withColumn("starts", F.coalesce(F.col("ended") | F.col("blank_end"), F.lit(True)).cast("int"))
+        fixed.withColumn("t", F.when(F.col("broken"), F.expr("left(t, char_length(t) - 1)")).otherwise(F.col("t")))
+        .withColumn("short_end", F.lag(end & (F.char_length("s") < 0.85 * F.col("width"))).over(w))
+        .withColumn("blank_end", F.col("blank_before") & F.lag(end).over(w))
+        .withColumn("starts", F.coalesce(F.col("short_end") | F.col("blank_end"), F.lit(True)).cast("int"))
         .withColumn("paragraph", F.sum("starts").over(w))
         .withColumn("glue", F.when(F.col("broken") | F.col("s").rlike(r"\p{IsHan}"), "").otherwise(" "))
     )
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.concat("t", "glue").alias("t"))))
     paragraphs = flowing.groupBy(*REC, "paragraph").agg(F.trim(F.array_join(F.transform(ordered, lambda x: x["t"]), "")).alias("t"))
-    return paragraphs.groupBy(*REC).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "t"))), lambda x: x["t"]), "\n\n").alias("text")
-    )
+    whole = F.array_sort(F.collect_list(F.struct("paragraph", "t")))
+    texts = paragraphs.groupBy(*REC).agg(F.array_join(F.transform(whole, lambda x: x["t"]), "\n\n").alias("text"))
+    every = records(parsed, media).select(*REC)
+    return every.join(texts, REC, "left").select(*REC, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _swapped(s: str, forms: dict[str, str]) -> str:
+    """The line with its misread words replaced, at word boundaries only."""
+    for word, form in forms.items():
+        if _HAN_CHAR.search(word):
+            s = s.replace(word, form)
+        else:
+            s = re.sub(rf"(?<![^\W_]){re.escape(word)}(?![^\W_A-Z])|(?<=[a-z]){re.escape(word)}(?![^\W_A-Z])", lambda _: form, s)
+    return s
