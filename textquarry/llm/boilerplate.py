@@ -100,17 +100,14 @@ def mask(line: Column, host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}@#]+", " "), r"\p{N}+", "0")
 
 
-def template_lines(pages: DataFrame) -> DataFrame:
-    """(h, on_pages): the hash of each masked line that stands on enough pages to be a template."""
-    total = F.broadcast(pages.agg(F.count("*").alias("_pages")))  # one row
+def template_lines(pages: DataFrame, total: int) -> DataFrame:
+    """(h, on_pages): the hash of each masked line that stands on enough of ``total`` pages."""
     hashes = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(mask(x, F.col("host")))))
     return (
         pages.select(F.explode(hashes).alias("h"))
         .groupBy("h")
         .agg(F.count("*").alias("on_pages"))
-        .where(F.col("on_pages") >= PAGES_ENOUGH)
-        .join(total, F.col("on_pages") >= PAGES_SHARE * F.col("_pages"))
-        .select("h", "on_pages")
+        .where(F.col("on_pages") >= max(PAGES_ENOUGH, PAGES_SHARE * total))
     )
 
 
@@ -219,11 +216,12 @@ def pages_of(df: DataFrame) -> DataFrame:
 def _judge(df: DataFrame, schema: str, row) -> DataFrame:
     """Apply ``row(key, lines, keep)``, which yields tuples of ``schema``, to each html page."""
     pages = pages_of(df)
+    total = df.where("source_type = 'html'").count()
     per_page = (
         pages.select("key", "host", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.trim("line") != "")
         .select("key", "line_no", F.xxhash64(mask(F.col("line"), F.col("host"))).alias("h"))
-        .join(template_lines(pages), "h")
+        .join(template_lines(pages, total), "h")
         .groupBy("key")
         .agg(F.collect_list(F.struct("line_no", "on_pages")).alias("seen"))
     )

@@ -36,7 +36,7 @@ DOMINANCE, ENOUGH = 8, 5
 # Signs that mark a word split at the end of a line.
 HYPHENS = "-‐¬­"
 # Glyphs that stand for a digit or letter, and groups of letters read as one letter.
-GLYPHS, GLYPHS_AS = "0O1I|56989", "oolllsbgbg"
+GLYPHS, GLYPHS_AS = "0O1I|5698!†@", "oolllsbgbita"
 PAIRS = (("li", "h"), ("rn", "m"), ("cl", "d"), ("ri", "n"), ("vv", "w"), ("ii", "u"), ("lc", "k"), ("e", "c"))
 # Han characters that scanners confuse, and the one of each pair used as skeleton.
 HAN = "暖笺稈蜜洼捡琏拭玛蹦钠侧迸扯未土已曰人千巳析佑巿"
@@ -60,6 +60,7 @@ _IMPOSSIBLE = (
     r"(?<![\p{L}\p{N}])(?:Ox[0-9a-f]+|0x[0-9a-f]*[OolISZ][0-9a-zA-Z]*)(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}.])(?:\d+[OolIS]+\d*|[OlIS]+\d+[OlIS\d]*)(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}])\p{Ll}{2,}[01569]\p{Ll}+(?!\p{N})"
+    r"|\p{L}!\p{Ll}|(?<!\S)!\p{Ll}|†|\p{Ll}@\p{Ll}*(?![\w.-]*\.\w)|(?<!\S)@\p{Ll}"
 )
 _HAN_CHAR = re.compile("[一-鿿]")
 _HAN_WINDOWS = re.compile(f"[一-鿿]?[{HAN}{HAN_AS}][一-鿿]?")
@@ -67,7 +68,7 @@ _ASCII_ENDS = re.compile(r"^[!-~]+|[!-~]+$")
 _LAST_PART = re.compile(rf"\S+[{HYPHENS}]$")
 _COMPOUND = re.compile(r"[^\W_]+(?:[-‐'’][^\W_]+)+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿа-яё])(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])")
-_WORDS = re.compile(r"[0-9A-Za-zÀ-ɏЀ-ӿ|]+")
+_WORDS = re.compile(r"(?:[0-9A-Za-zÀ-ɏЀ-ӿ|†@]|!(?=[a-z]))+")
 _LETTER = re.compile(r"[^\W\d_]")
 #: addresses and registers
 _NAME = re.compile(r"[0O]x|[a-z]\d{1,2}$")
