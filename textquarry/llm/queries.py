@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import boilerplate, encoding, lookalike, neardup, scans, spam
-from textquarry.llm.common import table
+from textquarry.llm import boilerplate, encoding, lookalike, mixing, neardup, packing, scans, spam
+from textquarry.llm.common import store, table
+from textquarry.llm.tokens import token_counts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,9 +63,48 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+    specs = [tuple(r) for r in table(spark, d, "container_specs").select("container_kind", "capacity_tokens").collect()]
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, specs)[0], specs
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every text with its container, for each kind of container."""
+    packed, _ = _packed(spark, d)
+    return packed.select("container_kind", "container_id", F.col("key").alias("doc_id"), "piece_no", "start", "len")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(*_packed(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with tokens and how many times it is used, with its source's actual share."""
+    targets = table(spark, d, "source_targets")
+    mixed = store(mixing.mix(table(spark, d, "documents"), targets))
+    share = mixing.shares(mixed, targets).select(F.coalesce("source", F.lit("")).alias("s"), "target_share", "actual_share")
+    return (
+        mixed.join(F.broadcast(share), F.coalesce("source", F.lit("")) == F.col("s"), "left")  # one row a source
+        .where("repeats > 0")
+        .select(F.col("key").alias("doc_id"), "source", "tokens", "repeats", "target_share", "actual_share")
+    )
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "source_targets")
+    return mixing.shares(store(mixing.mix(table(spark, d, "documents"), targets)), targets)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "documents")).select(F.col("key").alias("doc_id")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p8_found": p8_found}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_text, p2_found, p3_found, p4_found, p4_groups, p5_found,
+        p6_containers, p6_fill, p7_mix, p7_shares, p8_found,
+    )
+}
 SQL: dict[str, str] = {}
