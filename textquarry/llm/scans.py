@@ -180,7 +180,7 @@ def judged_words(s: str) -> list[str]:
 
 
 def words_of(body: DataFrame) -> DataFrame:
-    """(id, word): the distinct judged words of each line."""
+    """(id, word): the distinct judged words of each line, written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -188,7 +188,7 @@ def words_of(body: DataFrame) -> DataFrame:
             n = np.fromiter(map(len, words), np.int64, len(words))
             yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), n), "word": [w for ws in words for w in ws]})
 
-    return body.select("id", "s").mapInPandas(run, "id bigint, word string").repartition("word")
+    return store(body.select("id", "s").mapInPandas(run, "id bigint, word string"))
 
 
 def word_counts(words: DataFrame) -> DataFrame:
