@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import cut
 
-#: rounds of multiplicative weights, their step, and the most states of the knapsack program
-ROUNDS, STEP, STATES = 300, 0.5, 4096
+#: rounds of multiplicative weights, their step, the most states of the knapsack program, and the
+#: power of its first prices
+ROUNDS, STEP, STATES, PRICE = 300, 0.5, 4096, 1.3
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -89,11 +90,13 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> dict[t
         return {}
     containers = float((np.array(sizes) * h).sum()) / capacity
     each = max(1.0, containers / ROUNDS)
+    # first prices grow a little faster than the lengths: long pieces are the hard ones to cover
+    price = units ** PRICE
     weights = np.ones(len(sizes))
     left = h.copy()
     x: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
     for _ in range(ROUNDS):
-        value = np.where(usable & (left > 0), weights * units, 0.0)
+        value = np.where(usable & (left > 0), weights * price, 0.0)
         if not value.any():
             break
         keep = np.flatnonzero(value > 0)
