@@ -37,7 +37,8 @@ SPAM_FROM, CLEAN_TO = 0.6, 0.4
 #: most weight of a host in the log-odds of its pages, and the pages it takes to get half of it
 HOST_WEIGHT, HOST_HALF = 0.1, 50.0
 
-_URL = re.compile(r"https?://\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|test|example|invalid)\b(?:/\S*)?")
+_URL = re.compile(r"https?://\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*?\.(?:com|net|org|info|test|example|invalid)\b(?:/\S*)?")
+_HOST = re.compile(r"\.(?:com|net|org|info|test|example|invalid)\b")
 _MARKER = re.compile(r"^\s*(?:[-*+•]\s+|\d+[.)]\s+)?")
 _CUT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 _END = re.compile(r"""[.!?。！？;；][)）\]”"'»]*$""")
@@ -49,6 +50,9 @@ _LEAD = re.compile(r"^(?:\[[^\]]*\]\s*[–—-]\s*|[^:：.。]{1,60}[:：]\s+)")
 _CODE = re.compile(
     r"^\s*(?:[.@]\w|//|/\*|\*/|(?:const|invoke|if|return|move|goto|var|let|def|class|import|private|public|static|for|while)\b[ /({-])|[=()].*[;{}]\s*$|^\s*[{}()]+;?\s*$|\w\(.*\)\s*[;{]?\s*$"
 )
+_HAN = re.compile("[一-鿿]")
+_UPPER, _DIGIT = re.compile(r"[A-ZÀ-ÞА-ЯЁ]"), re.compile(r"\d")
+_HEAD = re.compile(r"#{1,6}\s\S|!?\[[^\]]*\d+: |!\[")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _WORD = re.compile(r"[^\W_]+")
 FEATURES = (
@@ -59,14 +63,19 @@ FEATURES = (
 
 def _sentence_chars(line: str) -> int:
     """Characters of a line that belong to sentences."""
-    body = _URL.sub("", _TARGET.sub("]", _MARKER.sub("", line, count=1))).strip()
+    body = _MARKER.sub("", line, count=1)
+    if "](" in body:
+        body = _TARGET.sub("]", body)
+    if "://" in body or _HOST.search(body):
+        body = _URL.sub("", body)
+    body = body.strip()
     total = 0
     pieces = [x.strip() for x in _CUT.split(body) if x.strip()]
     for i, p in enumerate(pieces):
         lead = _LEAD.match(p)
         rest = p[lead.end() :] if lead and _START.match(p[lead.end() :]) else p
         rest_text = rest.strip()
-        han = sum("一" <= c <= "鿿" for c in rest_text)
+        han = 0 if rest_text.isascii() else len(_HAN.findall(rest_text))
         if len(rest_text) < (12 if han >= 6 else 25) or not _START.match(rest):
             continue
         if not _END.search(rest_text) and not (total and i == len(pieces) - 1):  # the text may end in mid-sentence
@@ -95,21 +104,24 @@ def features(text: str) -> tuple[float, ...]:
             code += len(s)
         elif s.startswith("|") and s.endswith("|"):
             markup += len(s)
-        elif re.match(r"#{1,6}\s\S|!?\[[^\]]*\d+: |!\[", s):
+        elif s[0] in "#![" and _HEAD.match(s):
             markup += len(s)
         else:
             inside = _sentence_chars(x)
-            if not inside and _CODE.search(x) and not _URL.search(s):
+            has_url = not inside and ("://" in s or bool(_HOST.search(s))) and bool(_URL.search(s))
+            if not inside and not has_url and _CODE.search(x):
                 code += len(s)
                 continue
             sentence += min(len(s), inside)
             if not inside:
-                link += len(s) if _URL.search(s) else 0
+                link += len(s) if has_url else 0
                 short += len(s) if len(s) < 60 else 0
-    urls = _URL.findall(text)
-    words = _WORD.findall(_URL.sub(" ", text.lower()))
+    linked = "://" in text or bool(_HOST.search(text))
+    urls = _URL.findall(text) if linked else []
+    low = text.lower()
+    words = _WORD.findall(_URL.sub(" ", low) if linked else low)
     count = Counter(w for w in words if len(w) > 2 and not w.isdigit())
-    pairs = Counter(zip(words, words[1:], strict=False))
+    pairs = len(set(zip(words, words[1:], strict=False)))
     w = max(1, len(words))
     return (
         max(0.0, 1 - (sentence + code + markup) / n),
@@ -123,9 +135,9 @@ def features(text: str) -> tuple[float, ...]:
         sum(text.count(c) for c in (",", "•", " | ", " / ", " - ", "，", "、")) / w,
         len(count) / max(1, sum(count.values())),
         max(count.values(), default=0) / w,
-        sum(v for v in pairs.values() if v > 1) / w,
-        sum(c.isupper() for c in text) / len(text),
-        sum(c.isdigit() for c in text) / len(text),
+        1 - pairs / max(1, len(words) - 1) if len(words) > 1 else 0.0,
+        len(_UPPER.findall(text)) / len(text),
+        len(_DIGIT.findall(text)) / len(text),
         math.log1p(n),
         n / max(1, len(lines)),
     )
