@@ -41,7 +41,7 @@ def relative(files: DataFrame, root: str) -> DataFrame:
         kind.alias("source_type"),
         "content",
         F.col("length").alias("size_bytes"),
-        F.unix_micros("modificationTime").cast("double").alias("mtime") / 1e6,
+        (F.unix_micros("modificationTime").cast("double") / 1e6).alias("mtime"),
     )
 
 
