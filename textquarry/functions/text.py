@@ -94,9 +94,10 @@ def terms_of(c: Column) -> Column:
 
 def chunk_terms(texts: list[Column], max_terms: int) -> Column:
     """Sorted terms of several texts; a text is left out if those before it fill ``max_terms``."""
-    terms = terms_of(texts[0])
-    for t in texts[1:]:
-        terms = F.when(F.size(terms) >= max_terms, terms).otherwise(F.array_union(terms, terms_of(t)))
+    none = F.array().cast("array<string>")
+    # a fold evaluates each text once, where nested conditions would repeat the earlier ones
+    fill = lambda acc, more: F.when(F.size(acc) >= max_terms, acc).otherwise(F.array_union(acc, more))
+    terms = F.aggregate(F.array(*(terms_of(t) for t in texts)), none, fill)
     return F.slice(F.array_sort(terms), 1, max_terms)
 
 

@@ -145,22 +145,26 @@ def substring_search(chunks: DataFrame, query: str, mode: str = "any", source_ty
 def staged_search(chunks: DataFrame, term_index: DataFrame, query: str, mode: str = "any", source_type: str | None = None, top_k: int | None = None) -> DataFrame:
     """All stages as one plan: (*RESULT, stage, score), best first.
 
-    Each stage is cut to the limit before they are put together, which can't lose a result: a later
-    stage only fills up what earlier ones leave, in its own order.
+    Only ids and sort keys of the matches are put together; each chunk keeps its first stage, and
+    the texts are joined to the few rows that remain. The first stage is cut to the limit, which
+    can't lose a result: where it is longer, no later stage counts.
     """
-    one = bm25(chunks, query, mode, source_type, top_k)
-    out = one.withColumn("stage", F.lit(1))
+    keys = ("chunk_id", "source_path", "chunk_index")
+    place = lambda df, stage: df.select("chunk_id", F.struct(F.lit(stage).alias("stage"), F.lit(0.0).alias("score"), F.col("source_path").alias("p"), F.col("chunk_index").alias("i")).alias("k"))  # noqa: E731, E501
+    found = bm25(chunks, query, mode, source_type, top_k).select(
+        "chunk_id",
+        F.struct(F.lit(1).alias("stage"), F.col("score"), F.lit("").alias("p"), F.lit(0).cast("bigint").alias("i")).alias("k"),
+    )
     if has_han(query):
-        n = limit_of(top_k)
-        for stage, found in ((2, term_search(chunks, term_index, query, mode, source_type, -1)), (3, substring_search(chunks, query, mode, source_type, -1))):
-            new = found.join(out.select("chunk_id"), "chunk_id", "left_anti").withColumn("stage", F.lit(stage))
-            if n >= 0:
-                new = new.orderBy("source_path", "chunk_index", "chunk_id").limit(n)
-            out = out.unionByName(new)
-    key = F.when(F.col("stage") == 1, F.struct(F.lit("").alias("p"), F.lit(0).cast("bigint").alias("i"))).otherwise(
-        F.struct(F.col("source_path").alias("p"), F.col("chunk_index").alias("i"))
+        typed = _of_type(chunks, source_type)
+        two = typed.select(*keys).join(term_matches(term_index, query, mode), "chunk_id", "left_semi")
+        three = substring_search(chunks, query, mode, source_type, -1).select(*keys)
+        found = found.unionByName(place(two, 2)).unionByName(place(three, 3))
+    ranked = found.groupBy("chunk_id").agg(F.min("k").alias("k")).orderBy("k", "chunk_id")
+    top = _cut(ranked, top_k).select("chunk_id", "k.*")
+    return (
+        top.join(chunks.select(*RESULT), "chunk_id").orderBy("stage", "score", "p", "i", "chunk_id").select(*RESULT, "stage", "score")
     )
-    return _cut(out.orderBy("stage", "score", key, "chunk_id"), top_k).select(*RESULT, "stage", "score")
 
 
 def plain_snippet(text: Column, query: str, width: int = 240) -> Column:
