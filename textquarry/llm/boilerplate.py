@@ -154,16 +154,19 @@ def main_lines(lines: list[str], on_pages: list[int]) -> list[bool]:
     smooth = _smooth(ratio)
     cut = _threshold(smooth)
     dense = dict(zip(at, (smooth > cut).tolist(), strict=True))
-    return _checked(lines, at, fenced, [c > 0 for c in on_pages], dense)
+    own = dict(zip(at, (ratio > cut).tolist(), strict=True))
+    return _checked(lines, at, fenced, [c > 0 for c in on_pages], dense, own)
 
 
-def _checked(lines: list[str], at: list[int], fenced: list[bool], template: list[bool], dense: dict[int, bool]) -> list[bool]:
-    """The content regions after the exact checks."""
+def _checked(
+    lines: list[str], at: list[int], fenced: list[bool], template: list[bool], dense: dict[int, bool], own: dict[int, bool]
+) -> list[bool]:
+    """The content regions after the exact checks; ``own`` is ``dense`` before smoothing."""
     keep = [False] * len(lines)
     first = next((i for i in at if re.match(r"#\s", lines[i]) and not fenced[i]), None)
     if first is None:  # no heading to go by: the clusters decide
         for i in at:
-            keep[i] = dense[i] and not template[i]
+            keep[i] = dense[i] and not template[i] and (own[i] or not _label(lines[i].strip()))
         return keep
     keep[first] = True
     side = False  # below a heading of the template

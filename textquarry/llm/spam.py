@@ -34,6 +34,8 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH = 15, 6
 #: shares of characters outside sentences, code, tables and headings that give a weak label
 SPAM_FROM, CLEAN_TO = 0.6, 0.4
+#: a single line of fewer characters without a link is never labelled as spam
+SHORT = 40
 #: most weight of a host in the log-odds of its pages, and the pages it takes to get half of it
 HOST_WEIGHT, HOST_HALF = 0.1, 50.0
 
@@ -118,13 +120,16 @@ def features(text: str) -> tuple[float, ...]:
                 short += len(s) if len(s) < 60 else 0
     linked = "://" in text or bool(_HOST.search(text))
     urls = _URL.findall(text) if linked else []
+    outside = max(0.0, 1 - (sentence + code + markup) / n)
+    if n < SHORT and not urls and len(lines) == 1:  # too short to tell a sentence from keywords
+        outside = 0.0
     low = text.lower()
     words = _WORD.findall(_URL.sub(" ", low) if linked else low)
     count = Counter(w for w in words if len(w) > 2 and not w.isdigit())
     pairs = len(set(zip(words, words[1:], strict=False)))
     w = max(1, len(words))
     return (
-        max(0.0, 1 - (sentence + code + markup) / n),
+        outside,
         sentence / n,
         code / n,
         markup / n,
