@@ -36,6 +36,8 @@ from textquarry.llm.tokens import token_counts
 
 #: labelled records that train the classifier, about, and the hashed features
 TRAIN_ROWS, FEATURES = 20_000, 1 << 14
+#: one labelled record in so many measures how far the classifier can be trusted
+HELD_OUT = 10
 STEPS, TOLERANCE = 40, 1e-6
 #: buckets of the hash histogram, on each of two levels
 BUCKETS = 512
@@ -48,21 +50,29 @@ def _words(text: Column) -> Column:
 def posteriors(labelled: DataFrame, unlabelled: DataFrame, domains: list[str]) -> DataFrame:
     """(key, p): for each row of ``unlabelled`` (key, text) the probabilities of ``domains``.
 
-    ``labelled`` has (key, text, source); classes without any record have probability 0.
+    ``labelled`` has (key, text, source); classes without any record have probability 0. What the
+    classifier says is blended with the classes' frequencies by its accuracy on held-out records:
+    where sources can't be told apart by their words, the frequencies are the better guess.
     """
     index = {s: float(i) for i, s in enumerate(domains)}
     share = min(1.0, TRAIN_ROWS / max(1, labelled.count()))
     chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
     tf = HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES)
     mapped = F.create_map(*(x for k, v in index.items() for x in (F.lit(k), F.lit(v))))
-    train = tf.transform(chosen.select(_words(F.col("text")).alias("words"), mapped[F.col("source")].alias("label")))
-    train = train.where("size(words) > 0")
-    if train.isEmpty():
+    rows = tf.transform(chosen.select("key", _words(F.col("text")).alias("words"), mapped[F.col("source")].alias("label")))
+    rows = store(rows.where("size(words) > 0").select("key", "features", "label"))
+    counts = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
+    total = sum(counts.values())
+    prior = [counts.get(i, 0) / max(1, total) for i in range(len(domains))]
+    if not total:
         return unlabelled.select("key", F.array(*(F.lit(0.0) for _ in domains)).alias("p"))
-    model = NaiveBayes(featuresCol="features", labelCol="label", smoothing=0.1).fit(train)
+    held_out = F.pmod(F.hash("key"), F.lit(HELD_OUT)) == 0
+    model = NaiveBayes(featuresCol="features", labelCol="label", smoothing=0.1).fit(rows.where(~held_out) if total > HELD_OUT else rows)
+    right = model.transform(rows.where(held_out)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    trust = max(0.0, ((right or 0.0) - max(prior)) / (1 - max(prior))) if max(prior) < 1 else 1.0
     given = model.transform(tf.transform(unlabelled.select("key", _words(F.col("text")).alias("words"))))
-    wide = F.array(*(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) for i in range(len(domains))))
-    return given.select("key", vector_to_array("probability").alias("v")).select("key", wide.alias("p"))
+    blend = [trust * F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) + (1 - trust) * prior[i] for i in range(len(domains))]
+    return given.select("key", vector_to_array("probability").alias("v")).select("key", F.array(*blend).alias("p"))
 
 
 def _rate(p: Column, cap: Column, start: float, gradients: list[list[float]]) -> Column:
