@@ -36,8 +36,10 @@ DOMINANCE, ENOUGH = 8, 5
 # Signs that mark a word split at the end of a line.
 HYPHENS = "-‐¬­"
 # Glyphs that stand for a digit or letter, and groups of letters read as one letter.
-GLYPHS, GLYPHS_AS = "0O1I|5698!†@", "oolllsbgbita"
-PAIRS = (("li", "h"), ("rn", "m"), ("cl", "d"), ("ri", "n"), ("vv", "w"), ("ii", "u"), ("lc", "k"), ("e", "c"))
+GLYPHS, GLYPHS_AS = "0O1I|5698!†@éü", "oolllsbgbitabu"
+PAIRS = (("e", "c"), ("ii", "u"), ("ri", "n"), ("li", "h"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("lc", "k"))
+#: the same in another order: "lii" is either "hi" or "lu"
+OTHER_PAIRS = (("e", "c"), ("li", "h"), ("ii", "u"), *PAIRS[2:])
 # Han characters that scanners confuse, and the one of each pair used as skeleton.
 HAN = "暖笺稈蜜洼捡琏拭玛蹦钠侧迸扯未土已曰人千巳析佑巿"
 HAN_AS = "缓签程密注检链试码崩钥测进址末士己日入干己折估市"
@@ -52,8 +54,12 @@ _NUMBER_LINE = "|".join(
         r"^[ivxlcdm1]{1,9}$",
     )
 )
-_NUMBERED = rf"^{_NUM}\s{{3,}}\S|\S\s{{3,}}{_NUM}$|\S · {_NUM}$|\S / \S{{1,4}} {_NUM}$"
-_TITLE = r"^\p{Lu}[^.;!?]* – [^.;!?]* / |^[^.;!?]*: [^.;!?]* \(lib|^[^.;!?,]* \d+\.\d+, [^.;!?,]*$|^\S+的\S+：\S+$|^\S+与\S+( \d+\.\d+)?$"
+_NUMBERED = rf"\S / \S{{1,4}} {_NUM}$"
+#: a title and its page number, set wide apart or with a dot between
+_SPACED_NUMBER = rf"^{_NUM}\s{{3,}}\S|\S\s{{3,}}{_NUM}$|\S · {_NUM}$"
+_TITLE = r"^\p{Lu}[^.;!?]* – [^.;!?]* / |^[^.;!?]*: [^.;!?]* \(lib|^\S+的\S+：\S+$|^\S+与\S+( \d+\.\d+)?$"
+_VERSION_TITLE = r"^[^.;!?,]* \d+\.\d+, [^.;!?,]*$"
+_SHORT_VERSION_TITLE = r"^[^.;!?,]* \d+\.\d+, [^.;!?, ]+( [^.;!?, ]+){0,2}$"
 _ENDS = ".!?:;,。！？：；，、)]）”\"'»…"
 #: numbers, addresses and words that no writer would write: letters in numbers and the reverse
 _IMPOSSIBLE = (
@@ -76,10 +82,10 @@ _NAME = re.compile(r"[0O]x|[a-z]\d{1,2}$")
 REC = ["tbl", "rec_key"]
 
 
-def skeleton(word: Column) -> Column:
+def skeleton(word: Column, pairs: tuple[tuple[str, str], ...] = PAIRS) -> Column:
     """The word with all confusable glyphs made equal."""
     c = F.lower(F.translate(F.translate(word, HAN, HAN_AS), GLYPHS, GLYPHS_AS))
-    for pair, one in PAIRS:
+    for pair, one in pairs:
         c = F.replace(c, F.lit(pair), F.lit(one))
     return c
 
@@ -121,8 +127,10 @@ def page_lines(recs: DataFrame) -> DataFrame:
         .withColumn("bottom2", F.coalesce(F.lead("bottom").over(w), F.lit(False)))
         .withColumn("next", F.lead("s").over(w))
         .withColumn("edge", F.expr("top or bottom or top2 or bottom2"))
-        .withColumn("open", (F.char_length("s") <= 90) & ~F.contains(F.lit(_ENDS), F.right("s", F.lit(1))))
-        .withColumn("m", F.when(F.col("edge") & F.col("open") & ~F.col("number"), _mask(F.col("s"))))
+        .withColumn("open", (F.char_length("s") <= 90) & (~F.contains(F.lit(_ENDS), F.right("s", F.lit(1))) | F.col("s").rlike(r"\(\S*lib\S*\)$|\.\S?o\)$")))
+        .withColumn("titled", F.col("open") & (F.char_length("s") <= 70) & F.col("s").rlike(_TITLE))
+        .withColumn("m", F.when((F.col("edge") & F.col("open") | F.col("titled")) & ~F.col("number"), _mask(F.col("s"))))
+        .withColumn("before", F.when(F.lag("number").over(w), F.lag("s", 2).over(w)).otherwise(F.lag("s").over(w)))
     )
     again = Window.partitionBy(*REC, "m")
     lines = (
@@ -140,14 +148,18 @@ def page_lines(recs: DataFrame) -> DataFrame:
     capitals = (F.upper("s") == F.col("s")) & (F.lower("s") != F.col("s")) & F.col("s").rlike(r"\p{Lu}{4}") & ~han
     of_title = (F.char_length("s") >= 4) & F.startswith(F.col("title_skel"), skeleton(F.col("s")))
     head = F.col("top") & F.col("next").isNotNull() & room
+    # a header stands between two lines of which either both or none are at a sentence's bound
+    ended = F.coalesce(F.col("before").rlike(r"[.!?:。！？：][)”\"'»）]*$"), F.lit(True))
+    fits = ended == F.coalesce(F.col("next").rlike(r"^[\p{Lu}/]"), F.lit(True))
     titled = (F.col("top") | F.col("bottom") | F.col("top2") | F.col("bottom2")) & (
         F.col("s").rlike(_NUMBERED)
         | ((F.col("top") | F.col("bottom")) & (capitals | F.coalesce(of_title, F.lit(False))))
-        | ((F.char_length("s") <= 60) & F.col("s").rlike(_TITLE) & (F.col("top") | F.col("top2")))
+        | F.col("titled")
+        | ((F.char_length("s") <= 60) & (F.col("top") | F.col("top2")) & F.col("s").rlike(_VERSION_TITLE) & (fits | F.col("s").rlike(_SHORT_VERSION_TITLE)))
     )
     lines = lines.withColumn(
         "furniture",
-        F.coalesce(F.col("number") | (F.col("open") & F.col("edge") & (F.col("repeated") | alike | head | titled)), F.lit(False)),
+        F.coalesce(F.col("number") | (F.col("open") & F.col("s").rlike(_SPACED_NUMBER)) | (F.col("open") & F.col("edge") & (F.col("repeated") | alike | head | titled)) | (F.col("titled") & F.col("repeated")), F.lit(False)),
     )
     # the split word at the end of a body line: what stands before the hyphen and opens the next body line
     following = F.lead("s").over(Window.partitionBy(*REC, "furniture").orderBy("line_no"))
@@ -192,9 +204,10 @@ def words_of(body: DataFrame) -> DataFrame:
 
 
 def word_counts(words: DataFrame) -> DataFrame:
-    """(word, n, skel, low) of all words, written once."""
+    """(word, n, skel, other, low) of all words, written once."""
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    return store(counted.withColumn("skel", skeleton(F.col("word"))).withColumn("low", F.lower("word")))
+    other = skeleton(F.col("word"), OTHER_PAIRS)
+    return store(counted.select("word", "n", skeleton(F.col("word")).alias("skel"), other.alias("other"), F.lower("word").alias("low")))
 
 
 def misread_words(counted: DataFrame) -> DataFrame:
@@ -203,14 +216,16 @@ def misread_words(counted: DataFrame) -> DataFrame:
     Of several frequent forms the most frequent one counts; a form that is itself frequent enough
     is never replaced.
     """
-    low = counted.groupBy("skel", "low").agg(F.sum("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("form"))
-    best = low.groupBy("skel").agg(F.max(F.struct("n", "low", "form")).alias("best"), F.count("*").alias("forms"))
-    bad = (
-        low.join(best.where("forms > 1"), "skel")
-        .where((F.col("best.low") != F.col("low")) & (F.col("best.n") >= F.greatest(F.lit(ENOUGH), DOMINANCE * F.col("n"))))
-        .select("skel", "low", F.col("best.form").alias("form"))
-    )
-    return counted.join(bad, ["skel", "low"]).select("word", "form")
+    found = None
+    for skel in ("skel", "other"):
+        low = counted.groupBy(F.col(skel).alias("skel"), "low").agg(F.sum("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("form"))
+        best = low.groupBy("skel").agg(F.max(F.struct("n", "low", "form")).alias("best"), F.count("*").alias("forms"))
+        rare = F.col("best.n") >= F.greatest(F.lit(ENOUGH), DOMINANCE * F.col("n"))
+        bad = low.join(best.where("forms > 1"), "skel").where((F.col("best.low") != F.col("low")) & rare)
+        bad = bad.select("low", F.col("best.n").alias("n"), F.col("best.form").alias("form"))
+        found = bad if found is None else found.unionByName(bad)
+    chosen = found.groupBy("low").agg(F.max_by("form", F.struct("n", "form")).alias("form"))
+    return counted.select("word", "low").join(chosen, "low").select("word", "form")
 
 
 def broken_words(body: DataFrame, counted: DataFrame) -> DataFrame:
