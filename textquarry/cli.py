@@ -1,4 +1,7 @@
-"""Command line: ``python -m textquarry.cli ROOT ingest|search|docs|media|status ...``."""
+"""Command line: ``python -m textquarry.cli ROOT ingest|search|docs|media|status ...``.
+
+ROOT, or the nearest folder above it that has one, may hold a ``config.yaml``.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ import sys
 
 from pyspark.sql import DataFrame
 
+from textquarry import config
 from textquarry.engine import Engine
 from textquarry.session import session
 
@@ -41,7 +45,8 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("what", choices=("list", "gc"))
     sub.add_parser("status")
     a = p.parse_args(argv)
-    e = Engine(session(), a.root)
+    c = config.load(a.root)
+    e = Engine(session(), c.root, c.corpus, c.data, c.max_chars, c.overlap_chars, c.top_k)
     if a.command == "ingest":
         counts = e.ingest(a.full)
         print(" ".join(f"{k}={v}" for k, v in counts.items()))

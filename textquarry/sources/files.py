@@ -60,8 +60,7 @@ def parse_file(source_path: str, source_type: str, data: bytes, folder: str = "d
         text, title, found = page.text, page.title or title, page.files
         meta |= {"table_count": page.tables, "images": page.images}
     elif source_type == "pdf":
-        text = office.pdf_text(data)
-        meta["parser"] = "pdf-basic"
+        text, meta["page_count"], meta["parser"] = office.pdf_document(data)
     elif source_type == "docx":
         text, own = office.docx_text(data)
         title = own or title
