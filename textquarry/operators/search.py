@@ -36,13 +36,13 @@ def _of_type(chunks: DataFrame, source_type: str | None) -> DataFrame:
 
 
 def _scored(matches: DataFrame, tokens: list[str]) -> DataFrame:
-    """Add ``score`` to rows with tf0, tf1, ..., dl, df0, df1, ..., n and avgdl; smaller is better."""
+    """Add ``score`` to rows with tf0, tf1, ..., dl and the corpus numbers ``c``; smaller is better."""
     total = F.lit(0.0)
     for i in range(len(tokens)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
+        tf, df = F.col(f"tf{i}"), F.col(f"c.df{i}")
+        idf = F.log((F.col("c.n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("c.avgdl")))
     return matches.withColumn("score", F.round(-total, 6))
 
 
@@ -64,15 +64,17 @@ def bm25(chunks: DataFrame, query: str, mode: str = "any", source_type: str | No
     if not tokens:
         return counted.limit(0).select(*RESULT, F.lit(0.0).alias("score"))
     numbers = counted.agg(
-        F.count("*").alias("n"),
-        F.avg("dl").alias("avgdl"),
-        *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(tokens))),
+        F.struct(
+            F.count("*").alias("n"),
+            F.avg("dl").alias("avgdl"),
+            *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(tokens))),
+        ).alias("c")
     )
     hit = [F.col(f"tf{i}") > 0 for i in range(len(tokens))]
     match = hit[0]
     for h in hit[1:]:
         match = match | h if mode == "any" else match & h
-    found = _of_type(counted, source_type).where(match).join(F.broadcast(numbers))  # one row
+    found = _of_type(counted, source_type).where(match).withColumn("c", numbers.scalar())
     ranked = _scored(found, tokens).select(*RESULT, "score").orderBy("score", "chunk_id")
     return _cut(ranked, top_k)
 
@@ -88,13 +90,14 @@ def bm25_postings(
     tf = rows.groupBy("chunk_id").agg(
         *(F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(tokens))
     )
-    numbers = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = rows.agg(*(F.count(F.when(F.col("term") == t, 1)).alias(f"df{i}") for i, t in enumerate(tokens)))
+    numbers = dl.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("c")).scalar()
+    df = rows.agg(F.struct(*(F.count(F.when(F.col("term") == t, 1)).alias(f"df{i}") for i, t in enumerate(tokens))).alias("c")).scalar()
     if mode != "any":
         for i in range(len(tokens)):
             tf = tf.where(F.col(f"tf{i}") > 0)
     keep = _of_type(chunks, source_type)
-    found = tf.join(dl, "chunk_id").join(F.broadcast(numbers)).join(F.broadcast(df))  # one row each
+    found = tf.join(dl, "chunk_id").withColumn("a", numbers).withColumn("b", df)
+    found = found.withColumn("c", F.struct("a.*", "b.*"))
     ranked = _scored(found, tokens).select("chunk_id", "score")
     if source_type:
         ranked = ranked.join(keep.select("chunk_id"), "chunk_id", "left_semi")
@@ -111,10 +114,8 @@ def term_matches(term_index: DataFrame, query: str, mode: str = "any") -> DataFr
     hits = hits.join(F.broadcast(wanted), "term").select("chunk_id", "grp").distinct()  # as long as the query
     if mode == "any":
         return hits.select("chunk_id").distinct()
-    alive = hits.agg(F.count_distinct("grp").alias("alive"))
-    return (
-        hits.groupBy("chunk_id").agg(F.count("*").alias("k")).join(F.broadcast(alive), F.col("k") == F.col("alive")).select("chunk_id")
-    )
+    alive = hits.agg(F.count_distinct("grp").alias("alive")).scalar()
+    return hits.groupBy("chunk_id").agg(F.count("*").alias("k")).where(F.col("k") == alive).select("chunk_id")
 
 
 def term_search(chunks: DataFrame, term_index: DataFrame, query: str, mode: str = "any", source_type: str | None = None, top_k: int | None = None) -> DataFrame:
