@@ -111,6 +111,11 @@ def _mask(line: Column) -> Column:
     return skeleton(F.regexp_replace(F.regexp_replace(line, numbers, ""), r"[\s\d]+", ""))
 
 
+def _has_title_sign(c: str) -> Column:
+    """Cheaply: whether a line holds any of the signs that titles are made with."""
+    return F.contains(F.col(c), F.lit(" – ")) | F.contains(F.col(c), F.lit(": ")) | F.contains(F.col(c), F.lit("的")) | F.contains(F.col(c), F.lit("与"))
+
+
 def page_lines(recs: DataFrame) -> DataFrame:
     """(tbl, rec_key, line_no, s, blank_before, furniture) of every non-blank line."""
     w = Window.partitionBy(*REC).orderBy("line_no")
@@ -128,7 +133,7 @@ def page_lines(recs: DataFrame) -> DataFrame:
         .withColumn("next", F.lead("s").over(w))
         .withColumn("edge", F.expr("top or bottom or top2 or bottom2"))
         .withColumn("open", (F.char_length("s") <= 90) & (~F.contains(F.lit(_ENDS), F.right("s", F.lit(1))) | F.col("s").rlike(r"\(\S*lib\S*\)$|\.\S?o\)$")))
-        .withColumn("titled", F.col("open") & (F.char_length("s") <= 70) & F.col("s").rlike(_TITLE))
+        .withColumn("titled", F.col("open") & (F.char_length("s") <= 70) & _has_title_sign("s") & F.col("s").rlike(_TITLE))
         .withColumn("m", F.when((F.col("edge") & F.col("open") | F.col("titled")) & ~F.col("number"), _mask(F.col("s"))))
         .withColumn("before", F.when(F.lag("number").over(w), F.lag("s", 2).over(w)).otherwise(F.lag("s").over(w)))
     )
