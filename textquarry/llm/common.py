@@ -50,9 +50,3 @@ def store(df: DataFrame) -> DataFrame:
 def _folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textquarry-checkpoint-")
 
-
-def column_names(df: DataFrame, *wanted: str) -> None:
-    """Fail early, by name, when a needed column is missing."""
-    missing = [c for c in wanted if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")

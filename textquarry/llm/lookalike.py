@@ -128,7 +128,6 @@ def canonical_words(found: DataFrame) -> DataFrame:
         .withColumn("class", F.collate(_skeleton(F.col("word")), "UNICODE"))
     )
     best = member.groupBy("class", "script").agg(
-        F.max_by("word", F.struct(F.col("n"), F.col("word"))).alias("any_word"),
         F.max(F.when(F.col("right"), F.struct(F.col("n"), F.col("word").alias("w")))).alias("best"),
     )
     return (
