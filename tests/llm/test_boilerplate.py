@@ -45,6 +45,14 @@ def test_furniture(spark):
     assert all(sorted(v) == want for v in got.values())
 
 
+def test_templates_do_not_depend_on_other_sites(spark):
+    rows = [(f"d{i}", "own line", "a.test") for i in range(5)]
+    rows += [(f"s{i}", "shared line", f"{i}.test") for i in range(12)] + [("x", "own line", "b.test")]
+    df = spark.createDataFrame(rows, "key string, text string, host string")
+    few, many = (sorted(map(tuple, bp.template_lines(df, n).drop("h").collect())) for n in (20_000, 100_000_000))
+    assert few == many and [x for x in many if x[1] == 6] == [("a.test", 6)] and len(many) == 13
+
+
 def test_main_text(spark):
     got = {r.key: r.text for r in bp.main_text(pages(spark, 6)).collect()}
     assert got["d1"].startswith("# Title of the parser\n\nOnce the parser") and "cookies" not in got["d1"] and got["e"] == ""

@@ -32,8 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
-#: a masked line on at least so many pages and on this share of all pages is a template
-PAGES_ENOUGH, PAGES_SHARE = 4, 0.0005
+#: a masked line on at least so many pages of one site is a template of that site
+SITE_PAGES = 4
+#: so is one on so many pages of all sites: this share of all pages, between these bounds
+PAGES_ENOUGH, PAGES_MOST, PAGES_SHARE = 4, 10, 0.0005
 
 _LINK = re.compile(r"\[([^\]\n]*)\]\(([^)\s]*)\)|(https?://[^\s)]+)|\((/[^\s)]*|https?://[^\s)]+)\)")
 _SENTENCE_END = re.compile(r"""[.!?。！？…；;][)）\]”"'»」]*$""")
@@ -101,14 +103,13 @@ def mask(line: Column, host: Column) -> Column:
 
 
 def template_lines(pages: DataFrame, total: int) -> DataFrame:
-    """(h, on_pages): the hash of each masked line that stands on enough of ``total`` pages."""
+    """(h, host, on_pages): each masked line, by hash, on enough pages of its site or of all ``total``."""
     hashes = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(mask(x, F.col("host")))))
-    return (
-        pages.select(F.explode(hashes).alias("h"))
-        .groupBy("h")
-        .agg(F.count("*").alias("on_pages"))
-        .where(F.col("on_pages") >= max(PAGES_ENOUGH, PAGES_SHARE * total))
-    )
+    by_site = pages.select(F.explode(hashes).alias("h"), "host").groupBy("h", "host").agg(F.count("*").alias("n"))
+    enough = min(PAGES_MOST, max(PAGES_ENOUGH, PAGES_SHARE * total))
+    over_all = by_site.groupBy("h").agg(F.sum("n").alias("on_pages"), F.max("n").alias("most"))
+    some = over_all.where((F.col("on_pages") >= enough) | (F.col("most") >= SITE_PAGES)).select("h", "on_pages")
+    return by_site.join(some, "h").where((F.col("on_pages") >= enough) | (F.col("n") >= SITE_PAGES)).select("h", "host", "on_pages")
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -223,8 +224,8 @@ def _judge(df: DataFrame, schema: str, row) -> DataFrame:
     per_page = (
         pages.select("key", "host", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.trim("line") != "")
-        .select("key", "line_no", F.xxhash64(mask(F.col("line"), F.col("host"))).alias("h"))
-        .join(template_lines(pages, total), "h")
+        .select("key", "host", "line_no", F.xxhash64(mask(F.col("line"), F.col("host"))).alias("h"))
+        .join(template_lines(pages, total), ["h", "host"])
         .groupBy("key")
         .agg(F.collect_list(F.struct("line_no", "on_pages")).alias("seen"))
     )
