@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,40 +14,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files.
-
-    The folder is the session's own (``spark.checkpoint.dir``, shared by all executors); only
-    where none is set, as in tests, a local folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_folder(df.sparkSession))
+    """Write ``df`` to the checkpoint folder and go on from the files."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, rows_per_task: int = 2000) -> DataFrame:
-    """Spread rows that cost far more than reading them over more tasks than the scan has.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that cost far more than reading them, in tasks of an even number of rows.
 
-    Parquet splits follow compressed bytes; per-row Python work wants smaller ones. A scan that
-    already has four tasks per core stays as it is.
+    Scans are cut by compressed bytes and a table of few files gives few tasks; where the plan has
+    fewer tasks than the session's shuffle partitions, rows are dealt out to that many. That
+    setting grows with the data as for any other shuffle, and a larger scan stays as it is.
     """
-    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
 
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the checkpoint folder and read it again.
 
     Like :func:`cut`, but columnar and compressed, for larger results that are read several times.
+    The table is removed when the session ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_folder(df.sparkSession))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Leave the removal to the file system that holds ``path``, when the driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textquarry-checkpoint-")
+    """The folder all executors share: the session's own, or ``spark.checkpoint.dir``.
 
+    A session on one machine may go without and gets a temporary one; on a cluster that would be
+    another folder on each machine, so there the setting is required.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="textquarry-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
