@@ -27,13 +27,23 @@ CLEAN = {
 }
 
 
-def test_features_separate():
+def test_views_separate():
     rng = random.Random(1)
     for f in (stuffed, links):
-        assert spam.features(f(rng))[0] > 0.8
-    assert spam.features(prose(rng))[0] < 0.2
+        page = f(rng)
+        assert spam.stuffed(page) > 0.8 and spam.features(page)[0] < 0.2
+    assert spam.stuffed(prose(rng)) < 0.2 and spam.features(prose(rng))[0] > 0.8
     for name, text in CLEAN.items():
-        assert spam.features(text)[0] < 0.4, name
+        assert spam.stuffed(text) < 0.4, name
+
+
+def test_trees_overrule_labels_and_hosts_decide_open_pages(spark):
+    rng = random.Random(3)
+    pages = [(i, f"h{i % 3}", 0.0, prose(rng)) for i in range(150)] + [(200 + i, f"h{i % 3}", 0.9, links(rng)) for i in range(80)]
+    pages += [(300, "h0", 0.0, links(rng)), (301, "h1", 0.9, prose(rng))]  # labelled wrongly
+    df = spark.createDataFrame([(k, h, w, *spam.features(t)) for k, h, w, t in pages], ["key", "host", "stuffed", *spam.FEATURES])
+    got = {r.key: r.p for r in spam.scores(df).collect()}
+    assert got[300] > 0.5 > got[301]
 
 
 def test_held_out_pages(spark):

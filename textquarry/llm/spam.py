@@ -1,16 +1,19 @@
 """Problem 8: keyword-stuffed and link-list pages.
 
-Content and link features are measured on each whole text (:func:`features`). Weak labels come
-from two plain rules on them: a page most of whose characters are outside sentences, code, tables
-and headings is spam, one most of whose characters are inside is not; pages near the middle stay
-unlabelled. Bagged decision trees (Spark ML, all features at each split) are trained on a bounded
-sample of labelled pages and score every page. The scores are then smoothed with the spam rate of
-the page's host: the log-odds of a page move towards the log-odds of its host, by a weight that
-grows with the host's pages and stays small, so that a page with clear content is never overruled.
+Two views of each whole text are measured. What spam is made of gives the weak labels:
+:func:`stuffed` is the share of characters in lines that are links with few words, repeat their
+words, or string tags together; pages where it is large are taken for spam, where it is small for
+clean, and those between stay unlabelled. The trees don't see that share. They get content and
+link features of another kind (:func:`features`: sentences, code, lengths, capitals, vocabulary,
+addresses), are bagged (Spark ML, all features at each split), trained on a bounded sample of
+labelled pages, and score every page, labelled or not. So they overrule wrong labels where the
+other features say otherwise. The scores are smoothed with the spam rate of the page's host: the
+log-odds of a page move towards the log-odds of its host, by a weight that grows with the host's
+pages; it decides pages that the trees leave open.
 
 Defined results: null and blank texts are no cases; repeated texts are cases under each id; a null
-source is a host of its own; an empty table, or one with labels of one kind only, gives the labels
-of the rules. Extra columns are ignored.
+source is a host of its own; an empty table, or one with labels of one kind only, gives the weak
+labels. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +35,16 @@ from textquarry.llm.common import cut, spread
 #: at most about so many labelled pages train the trees
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 15, 6
-#: shares of characters outside sentences, code, tables and headings that give a weak label
+#: shares of characters in stuffed lines that give a weak label
 SPAM_FROM, CLEAN_TO = 0.6, 0.4
+#: a link needs so many words around it to be more than an entry of a list
+WORDS_A_LINK = 8
+#: marks between tags for each word of a tag list, and the share of distinct words below which a line repeats itself
+MARKS, DISTINCT = 0.3, 0.62
 #: a single line of fewer characters without a link is never labelled as spam
 SHORT = 40
 #: most weight of a host in the log-odds of its pages, and the pages it takes to get half of it
-HOST_WEIGHT, HOST_HALF = 0.1, 50.0
+HOST_WEIGHT, HOST_HALF = 0.15, 50.0
 
 _URL = re.compile(r"https?://\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*?\.(?:com|net|org|info|test|example|invalid)\b(?:/\S*)?")
 _HOST = re.compile(r"\.(?:com|net|org|info|test|example|invalid)\b")
@@ -57,8 +64,12 @@ _UPPER, _DIGIT = re.compile(r"[A-ZÀ-ÞА-ЯЁ]"), re.compile(r"\d")
 _HEAD = re.compile(r"#{1,6}\s\S|!?\[[^\]]*\d+: |!\[")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _WORD = re.compile(r"[^\W_]+")
+_MARK = re.compile(r"#\w|\[[^\]\n]{1,30}\]|[|•,;]|\s[/-]\s|[，、](?=[^，、。]{1,12}[，、])")
+_STRUCTURE = re.compile(r"[{}=]\s*$|\)\s*;$|\w\(.*\)|^\s*[.@/*]|^\||^```|^\s*#{1,6}\s")
+_STOP = re.compile("[。！？；]")
+_CLOSED = re.compile(r"""[.!?。！？;；:：…][)）\]”"'»]*$""")
 FEATURES = (
-    "outside", "sentence", "code", "markup", "url_chars", "urls", "link_lines", "short_lines", "separators",
+    "sentence", "code", "markup", "url_chars", "urls", "link_lines", "short_lines", "separators",
     "distinct", "top_word", "repeated_pairs", "upper", "digits", "log_length", "line_length",
 )
 
@@ -91,6 +102,36 @@ def _sentence_chars(line: str) -> int:
     return len(line.strip()) if total > 0.6 * len(body) else min(total, len(body))
 
 
+def stuffed(text: str) -> float:
+    """The share of a text's characters in lines of links, repeated words or tags."""
+    total = bad = 0
+    entries: list[tuple[str, int]] = []  # short lines: first word and length
+    for s in filter(None, map(str.strip, text.split("\n"))):
+        n = len(s)
+        total += n
+        if ("://" in s or _HOST.search(s)) and (urls := len(_URL.findall(s))):
+            rest = _URL.sub(" ", s)
+            if len(_WORD.findall(rest)) + len(_HAN.findall(rest)) // 2 < WORDS_A_LINK * urls:
+                bad += n
+            continue
+        han = 0 if s.isascii() else len(_HAN.findall(s))
+        if _STRUCTURE.search(s) or han > 0.3 * n and _STOP.search(s):
+            continue
+        words, marks = _WORD.findall(s.lower()), len(_MARK.findall(s))
+        if marks >= 2 and marks >= MARKS * len(words):
+            bad += n
+        elif len(words) < 8 and not (han and n >= 30 and _CLOSED.search(s)):
+            if not _CLOSED.search(s):
+                entries.append((words[0] if words else "", n))
+        elif len(words) >= 12 and len(set(words)) < DISTINCT * len(words):
+            bad += n
+    if len(entries) >= 5 and len({w for w, _ in entries}) < 0.6 * len(entries):
+        bad += sum(n for _, n in entries)
+    if total < SHORT and "\n" not in text.strip() and not _URL.search(text):  # too short to tell
+        return 0.0
+    return bad / max(1, total)
+
+
 def features(text: str) -> tuple[float, ...]:
     """The values of :data:`FEATURES` for one text; shares are of non-blank lines' characters."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -120,16 +161,12 @@ def features(text: str) -> tuple[float, ...]:
                 short += len(s) if len(s) < 60 else 0
     linked = "://" in text or bool(_HOST.search(text))
     urls = _URL.findall(text) if linked else []
-    outside = max(0.0, 1 - (sentence + code + markup) / n)
-    if n < SHORT and not urls and len(lines) == 1:  # too short to tell a sentence from keywords
-        outside = 0.0
     low = text.lower()
     words = _WORD.findall(_URL.sub(" ", low) if linked else low)
     count = Counter(w for w in words if len(w) > 2 and not w.isdigit())
     pairs = len(set(zip(words, words[1:], strict=False)))
     w = max(1, len(words))
     return (
-        outside,
         sentence / n,
         code / n,
         markup / n,
@@ -149,22 +186,23 @@ def features(text: str) -> tuple[float, ...]:
 
 
 def page_features(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """(key, host, *FEATURES) of each row with a text that isn't blank."""
+    """(key, host, stuffed, *FEATURES) of each row with a text that isn't blank."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             values = pd.DataFrame([features(t) for t in b["text"]], columns=list(FEATURES), dtype=float)
+            values.insert(0, "stuffed", [stuffed(t) for t in b["text"]])
             yield pd.concat([b[["key", "host"]].reset_index(drop=True), values], axis=1)
 
     rows = df.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
     rows = rows.where(F.col("text").rlike(r"\S"))
     kind = dict(df.dtypes)[key]
-    return spread(rows).mapInPandas(run, f"key {kind}, host string, " + ", ".join(f"{f} double" for f in FEATURES))
+    return spread(rows).mapInPandas(run, f"key {kind}, host string, stuffed double, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def scores(pages: DataFrame) -> DataFrame:
     """``pages`` with ``p``, the smoothed probability of spam."""
-    label = F.when(F.col("outside") >= SPAM_FROM, 1.0).when(F.col("outside") <= CLEAN_TO, 0.0)
+    label = F.when(F.col("stuffed") >= SPAM_FROM, 1.0).when(F.col("stuffed") <= CLEAN_TO, 0.0)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(pages.withColumn("label", label))
     labelled = vectors.where("label is not null")
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -176,6 +214,7 @@ def scores(pages: DataFrame) -> DataFrame:
         featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", seed=7
     ).fit(train)
     scored = trees.transform(vectors).withColumn("q", vector_to_array("probability")[1])
+    # a leaf without a counter-example isn't certainty
     clipped = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("q")))
     host = F.coalesce("host", F.lit("\0"))
     rates = scored.groupBy(host.alias("h")).agg(F.count("*").alias("pages"), F.avg("q").alias("rate"))
