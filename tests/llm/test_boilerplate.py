@@ -47,10 +47,13 @@ def test_furniture(spark):
 
 def test_templates_do_not_depend_on_other_sites(spark):
     rows = [(f"d{i}", "own line", "a.test") for i in range(5)]
-    rows += [(f"s{i}", "shared line", f"{i}.test") for i in range(12)] + [("x", "own line", "b.test")]
-    df = spark.createDataFrame(rows, "key string, text string, host string")
-    few, many = (sorted(map(tuple, bp.template_lines(df, n).drop("h").collect())) for n in (20_000, 100_000_000))
-    assert few == many and [x for x in many if x[1] == 6] == [("a.test", 6)] and len(many) == 13
+    rows += [(f"s{i}", "shared line", f"{i}.test") for i in range(12)] + [("x", "single line", "b.test")]
+    got = []
+    for more in (0, 40):
+        other = [(f"o{i}", f"body {'xyz'[i % 3] * i} of another site", f"{i}.other") for i in range(more)]
+        df = spark.createDataFrame(rows + other, "key string, text string, host string")
+        got.append(sorted(map(tuple, bp.template_lines(df).drop("h").collect())))
+    assert got[0] == got[1] and ("a.test", 5.0) in got[0] and ("0.test", 3.0) in got[0] and len(got[0]) == 13
 
 
 def test_main_text(spark):
@@ -64,7 +67,23 @@ def test_no_heading_and_empty(spark):
     assert bp.furniture_lines(df.limit(0)).count() == 0
 
 
+def events_of(line):
+    e = bp.Events()
+    e.feed(bp.markup(line, "own.test", False))
+    return e.text, e.linked, e.tags, e.block
+
+
 def test_events():
-    text, linked, tags = bp.line_events("- [Wiki](/wiki) and more")
-    assert (text, linked, tags) == (12, 4, 2)
-    assert bp.line_events("plain & simple <b") == (17, 0, 0)
+    assert events_of("See [Wiki](/wiki) and more of it.") == (18, 0, 1, "")
+    assert events_of("plain & simple <b.") == (18, 0, 0, "")
+    assert events_of("Menu") == (0, 0, 1, "") and events_of("- Menu") == (0, 4, 2, "")
+    assert events_of("- A page (https://other.test/x)")[3] == "cite" and events_of("- A page (https://own.test/x)")[3] == ""
+    assert events_of("## Part")[3] == "h2" and events_of("| a | b |")[3] == "td" and events_of("[Image 1: x] path=a.png")[3] == "img"
+
+
+def test_clusters_decide():
+    lines = PAGE.format(i=1, w="loader", body=BODY.format(i=1, w="loader")).split("\n")
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    smooth = bp._smooth(bp.line_ratios([lines[i] for i in at], [1.0] * len(at), "site.test"))
+    kept = bp.main_lines(lines, [1.0] * len(lines), "site.test")
+    assert [kept[i] for i in at] == (smooth > bp._threshold(smooth)).tolist() and sum(kept) >= len(KEPT) - 1

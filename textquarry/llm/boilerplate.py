@@ -1,20 +1,23 @@
 """Problem 3: site furniture mixed into the text of web pages.
 
-The stored text is Markdown-like, so each line is first written as the markup it stands for and
-fed to the streaming parser of the standard library; its events give the visible characters and
-the tags of the line. The text-to-tag ratio of each line is smoothed over the page with a Gaussian
-and the lines are clustered by a threshold that two-means on the page's own ratios chooses.
-
-The ratio alone can't tell a cookie notice from a short paragraph. So a line that stands, digits
-and host name masked, on many pages counts one more tag for each doubling of that number: such
-lines come from a template, not from the page. These counts are made over all pages by grouping
-line hashes in Spark (with map-side combine; a hot line is one group, a count).
-
-Exact checks follow on the regions: what precedes the page's first heading goes, so do entries
-below a heading of a template; fences, tables, image markers and author's lists stay whole.
+The stored text is Markdown-like, so each line is written as the markup it stands for - headings,
+paragraphs, table cells, list items, links, ``pre`` - and the page is streamed line by line into
+the parser of the standard library. The parser's events give, for each line, the characters of
+content, those inside links to the own site, and the tags. A label (a line that is no sentence,
+heading, table or list item) stands for a link; a link to another site is a citation, not
+navigation; headings, cells, code and images stand for a block of fixed size.
+
+The logarithm of the text-to-tag ratio of each line is smoothed over the page with a Gaussian, and
+the lines are clustered by a threshold that two-means finds on the page's own smoothed ratios,
+within fixed bounds, as some pages have no furniture and some hardly anything else. The cluster
+alone decides whether a line is kept.
+
+Templates count as tags: a line that, digits and host name masked, stands on n pages of its site
+(or 4 n of all sites) has its tags multiplied by a power of n. These counts are made over all pages
+by grouping line hashes in Spark (with map-side combine; a hot line is one group, a count).
 
 Defined results: null, empty and blank texts have no lines; a page without a first-level heading
-is judged by the ratio alone; the same page delivered twice counts once in the statistics; the
+is judged like any other; the same page delivered twice counts once in the statistics; the
 results of :func:`furniture_lines` are distinct.
 """
 
@@ -31,96 +34,121 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIGMA = 1.0
-#: a masked line on at least so many pages of one site is a template of that site
-SITE_PAGES = 4
-#: so is one on so many pages of all sites: this share of all pages, between these bounds
-PAGES_ENOUGH, PAGES_MOST, PAGES_SHARE = 4, 10, 0.0005
+#: width of the Gaussian in lines, and the bounds of the threshold (logarithms of ratios)
+SIGMA, LOWEST, HIGHEST = 0.6, 1.1, 2.5
+#: a line on n pages counts n to this power times its tags; pages of other sites count for less
+POWER, OTHER_SITES = 2.3, 4
+#: characters that a block stands for whatever its own length
+BLOCKS = {"pre": 60, "td": 60, "img": 60, "cite": 60, "h1": 80, "h2": 60, "h3": 30, "h4": 30, "h5": 30, "h6": 30}
+#: blocks that templates don't count against: fence marks and table heads are alike everywhere
+_OWN = {"pre", "td", "img", "h1", "h2"}
+#: what a linked character counts for in a list, which may be the author's, and the ratio of an empty line
+LINKED, EMPTY = 0.1, 0.2
+#: the logarithm of a ratio is at least this, so that one line can't outweigh its neighbours
+FLOOR = -3.0
 
 _LINK = re.compile(r"\[([^\]\n]*)\]\(([^)\s]*)\)|(https?://[^\s)]+)|\((/[^\s)]*|https?://[^\s)]+)\)")
+_HOST = re.compile(r"https?://([^/\s)]+)")
 _SENTENCE_END = re.compile(r"""[.!?。！？…；;][)）\]”"'»」]*$""")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _LIST = re.compile(r"^\s*(?:[-*+•»·>]|\d+[.)])\s+")
 _TABLE = re.compile(r"^\|.*\|$")
 _IMAGE = re.compile(r"^!?\[[^\]]*\d+:|^!\[")
-_ARCHIVE = re.compile(r"^\s*(?:[-*•»·]\s*)?\d{4}[-/.]\d{2}\s*\(\d+\)\s*$")
+_HEADING = re.compile(r"(#{1,6})\s+")
+_BARS = tuple(map(escape, (" | ", " › ", " » ", " > ")))
 
 
-class _Events(HTMLParser):
-    """Counts the visible characters, the linked ones and the tags of one line."""
+class Events(HTMLParser):
+    """Counts, line by line, what the parser reports of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.text = self.linked = self.tags = self._in_link = 0
+        self._open: list[str] = []
+        self.next_line()
+
+    def next_line(self) -> None:
+        self.text = self.linked = self.tags = 0
+        self.block = "pre" if "pre" in self._open else ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags += 1
-        self._in_link += tag == "a"
+        if tag in BLOCKS:
+            self.block = tag
+        else:
+            self.tags += tag in ("a", "i", "li")
+        if tag != "img":
+            self._open.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self._in_link -= tag == "a"
+        if tag in self._open:
+            del self._open[len(self._open) - 1 - self._open[::-1].index(tag) :]
 
     def handle_data(self, data: str) -> None:
         n = len(data.strip())
-        self.text += n
-        if self._in_link > 0:
-            self.linked += n
-
-
-def _markup(line: str) -> str:
-    """The markup a line of the stored text stands for."""
-    body, wrap = line.strip(), ""
-    if m := re.match(r"#{1,6}\s+", body):
-        body, wrap = body[m.end() :], "h"
-    elif m := _LIST.match(body):
-        body, wrap = body[m.end() :], "li"
+        if "a" in self._open:
+            self.linked += n * ("li" in self._open)
+        else:
+            self.text += n
+
+
+def _inline(body: str) -> str:
+    """Links and bars of a line as tags."""
     out, at = [], 0
     for m in _LINK.finditer(body):
         out.append(escape(body[at : m.start()]))
         out.append(f'<a href="{escape(m.group(2) or m.group(3) or m.group(4) or "")}">{escape(m.group(1) or "")}</a>')
         at = m.end()
-    out.append(escape(body[at:]))
-    html = "".join(out)
-    for mark in (" | ", " › ", " » ", " > "):
-        if html.count(escape(mark)) >= 1 and not body.startswith("|"):
-            html = "<i>" + html.replace(escape(mark), "</i><i>") + "</i>"
-    return f"<{wrap}>{html}</{wrap}>" if wrap else html
-
-
-def line_events(line: str) -> tuple[int, int, int]:
-    """(visible characters, linked characters, tags) of a line, from parser events."""
-    p = _Events()
-    p.feed(_markup(line))
-    p.close()
-    return p.text, p.linked, p.tags
-
-
-def mask(line: Column, host: Column) -> Column:
-    """A line as its template has it: without host name, link targets and digits."""
-    c = F.when(F.length(host) > 3, F.replace(line, host, F.lit("#"))).otherwise(line)
-    c = F.regexp_replace(c, r"https?://[^\s)]+|\(/[^\s)]*\)", "@")
-    return F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}@#]+", " "), r"\p{N}+", "0")
-
-
-def template_lines(pages: DataFrame, total: int) -> DataFrame:
-    """(h, host, on_pages): each masked line, by hash, on enough pages of its site or of all ``total``."""
-    hashes = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(mask(x, F.col("host")))))
-    by_site = pages.select(F.explode(hashes).alias("h"), "host").groupBy("h", "host").agg(F.count("*").alias("n"))
-    enough = min(PAGES_MOST, max(PAGES_ENOUGH, PAGES_SHARE * total))
-    over_all = by_site.groupBy("h").agg(F.sum("n").alias("on_pages"), F.max("n").alias("most"))
-    some = over_all.where((F.col("on_pages") >= enough) | (F.col("most") >= SITE_PAGES)).select("h", "on_pages")
-    return by_site.join(some, "h").where((F.col("on_pages") >= enough) | (F.col("n") >= SITE_PAGES)).select("h", "host", "on_pages")
+    html = "".join(out) + escape(body[at:])
+    for bar in _BARS:
+        if bar in html:
+            html = "<i>" + html.replace(bar, "</i><i>") + "</i>"
+    return html
+
+
+def markup(line: str, host: str, fenced: bool) -> str:
+    """The markup a line of the stored text stands for; ``fenced``: it stands between fences."""
+    s = line.strip()
+    if _FENCE.match(line):
+        return "</pre>" if fenced else "<pre>"
+    if fenced:
+        return escape(s)
+    if _TABLE.match(s):
+        return f"<td>{escape(s)}</td>"
+    if _IMAGE.match(s):
+        return f'<img alt="{escape(s)}">'
+    if m := _HEADING.match(s):
+        return f"<h{len(m.group(1))}>{escape(s[m.end() :])}</h{len(m.group(1))}>"
+    sentence = bool(_SENTENCE_END.search(s)) or len(s) >= 90
+    if m := _LIST.match(s):
+        body = s[m.end() :]
+        if any(h != host for h in _HOST.findall(s)):
+            return f"<li><cite>{escape(body)}</cite></li>"
+        return f"<li>{_inline(body)}</li>" if sentence else f"<li><a>{escape(body)}</a></li>"
+    return f"<p>{_inline(s)}</p>" if sentence else f"<a>{escape(s)}</a>"
+
+
+def line_ratios(lines: list[str], copies: list[float], host: str = "") -> np.ndarray:
+    """The logarithm of each line's text-to-tag ratio; ``copies`` are the pages a line counts for."""
+    events, out, fenced = Events(), np.empty(len(lines)), False
+    for i, line in enumerate(lines):
+        events.next_line()
+        events.feed(markup(line, host, fenced))
+        fenced ^= bool(_FENCE.match(line))
+        block = events.block
+        text = max(events.text, BLOCKS["cite"]) if block == "cite" else BLOCKS.get(block, events.text + LINKED * events.linked)
+        tags = 0 if block else events.tags - (events.tags > 1 and events.linked > 0)
+        ratio = math.log((text + EMPTY) / (1 + tags))
+        out[i] = max(FLOOR, ratio - (0 if block in _OWN else POWER * math.log(max(1.0, copies[i]))))
+    return out
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
-    r = max(1, int(math.ceil(2 * SIGMA)))
+    r = math.ceil(3 * SIGMA)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / SIGMA) ** 2)
-    padded = np.pad(x, r, mode="edge")
-    return np.convolve(padded, k / k.sum(), mode="valid")
+    return np.convolve(np.pad(x, r, mode="edge"), k / k.sum(), mode="valid")
 
 
 def _threshold(x: np.ndarray) -> float:
-    """Two-means on the log ratios: the midpoint of the two centres."""
+    """Two-means on the smoothed ratios: the midpoint of the two centres, within its bounds."""
     lo, hi = float(x.min()), float(x.max())
     for _ in range(20):
         mid = (lo + hi) / 2
@@ -131,76 +159,34 @@ def _threshold(x: np.ndarray) -> float:
         if (a, b) == (lo, hi):
             break
         lo, hi = a, b
-    return (lo + hi) / 2
-
-
-def main_lines(lines: list[str], on_pages: list[int]) -> list[bool]:
-    """For each line whether it belongs to the main body; ``on_pages`` is 0 outside templates."""
-    n = len(lines)
-    keep = [False] * n
-    at = [i for i in range(n) if lines[i].strip()]
-    if not at:
-        return keep
-    fence, fenced = False, [False] * n
-    for i in at:
-        mark = bool(_FENCE.match(lines[i]))
-        fenced[i] = fence or mark
-        fence ^= mark
-    ratio = np.empty(len(at))
-    for j, i in enumerate(at):
-        text, linked, tags = line_events(lines[i]) if not fenced[i] else (len(lines[i]), 0, 0)
-        if on_pages[i] and not fenced[i]:
-            tags += math.log2(on_pages[i] + 1)
-        ratio[j] = math.log1p(max(0, text - linked) / (1 + tags))
-    smooth = _smooth(ratio)
-    cut = _threshold(smooth)
-    dense = dict(zip(at, (smooth > cut).tolist(), strict=True))
-    own = dict(zip(at, (ratio > cut).tolist(), strict=True))
-    return _checked(lines, at, fenced, [c > 0 for c in on_pages], dense, own)
-
-
-def _checked(
-    lines: list[str], at: list[int], fenced: list[bool], template: list[bool], dense: dict[int, bool], own: dict[int, bool]
-) -> list[bool]:
-    """The content regions after the exact checks; ``own`` is ``dense`` before smoothing."""
+    return min(max((lo + hi) / 2, LOWEST), HIGHEST)
+
+
+def main_lines(lines: list[str], copies: list[float], host: str = "") -> list[bool]:
+    """For each line whether it belongs to the main body."""
     keep = [False] * len(lines)
-    first = next((i for i in at if re.match(r"#\s", lines[i]) and not fenced[i]), None)
-    if first is None:  # no heading to go by: the clusters decide
-        for i in at:
-            keep[i] = dense[i] and not template[i] and (own[i] or not _label(lines[i].strip()))
-        return keep
-    keep[first] = True
-    side = False  # below a heading of the template
-    for j, i in enumerate(at):
-        if i <= first:
-            continue
-        s = lines[i].strip()
-        below = lines[at[j + 1]].strip() if j + 1 < len(at) and at[j + 1] == i + 1 else ""
-        entries = bool(below) and (bool(_ARCHIVE.match(below)) or _label(below) and not below.startswith(("|", "```", "[Image")))
-        sentence = bool(_SENTENCE_END.search(s)) or len(s) >= 90
-        heading = re.match(r"(#{2,6})\s+\S", s)
-        if fenced[i] or _TABLE.match(s) or _IMAGE.match(s):
-            side = False
-        elif heading:
-            side = len(heading.group(1)) > 2 and (template[i] or entries)
-        elif _ARCHIVE.match(s):
-            side = True
-        elif _LIST.match(s):
-            side = side and not sentence
-        elif template[i] or not sentence:
-            side = side or entries
-            continue
-        elif dense[i] or len(s) >= 60:
-            side = False
-        else:
-            continue
-        keep[i] = not side
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    if at:
+        smooth = _smooth(line_ratios([lines[i] for i in at], [copies[i] for i in at], host))
+        for i, dense in zip(at, smooth > _threshold(smooth), strict=True):
+            keep[i] = bool(dense)
     return keep
 
 
-def _label(s: str) -> bool:
-    """A short line without the end of a sentence: a title, a button, a label."""
-    return len(s) < 90 and not _SENTENCE_END.search(s)
+def mask(line: Column, host: Column) -> Column:
+    """A line as its template has it: without host name, link targets and digits."""
+    c = F.when(F.length(host) > 3, F.replace(line, host, F.lit("#"))).otherwise(line)
+    c = F.regexp_replace(c, r"https?://[^\s)]+|\(/[^\s)]*\)", "@")
+    return F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}@#]+", " "), r"\p{N}+", "0")
+
+
+def template_lines(pages: DataFrame) -> DataFrame:
+    """(h, host, copies): what each masked line, by hash, that isn't single counts for on its site."""
+    hashes = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(mask(x, F.col("host")))))
+    by_site = pages.select(F.explode(hashes).alias("h"), "host").groupBy("h", "host").agg(F.count("*").alias("n"))
+    over_all = by_site.groupBy("h").agg(F.sum("n").alias("on_pages")).where("on_pages > 1")
+    copies = F.greatest(F.col("n").cast("double"), F.col("on_pages") / OTHER_SITES)
+    return by_site.join(over_all, "h").select("h", "host", copies.alias("copies")).where("copies > 1")
 
 
 def site_of(path: Column) -> Column:
@@ -220,29 +206,28 @@ def pages_of(df: DataFrame) -> DataFrame:
 def _judge(df: DataFrame, schema: str, row) -> DataFrame:
     """Apply ``row(key, lines, keep)``, which yields tuples of ``schema``, to each html page."""
     pages = pages_of(df)
-    total = df.where("source_type = 'html'").count()
     per_page = (
         pages.select("key", "host", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.trim("line") != "")
         .select("key", "host", "line_no", F.xxhash64(mask(F.col("line"), F.col("host"))).alias("h"))
-        .join(template_lines(pages, total), ["h", "host"])
+        .join(template_lines(pages), ["h", "host"])
         .groupBy("key")
-        .agg(F.collect_list(F.struct("line_no", "on_pages")).alias("seen"))
+        .agg(F.collect_list(F.struct("line_no", "copies")).alias("seen"))
     )
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, text, seen in zip(b["key"], b["text"], b["seen"], strict=True):
+            for key, host, text, seen in zip(b["key"], b["host"], b["text"], b["seen"], strict=True):
                 lines = text.split("\n")
-                on_pages = [0] * len(lines)
+                copies = [1.0] * len(lines)
                 for x in seen if seen is not None else ():
-                    on_pages[x["line_no"]] = x["on_pages"]
-                out.extend(row(key, lines, main_lines(lines, on_pages)))
+                    copies[x["line_no"]] = x["copies"]
+                out.extend(row(key, lines, main_lines(lines, copies, host)))
             yield pd.DataFrame(out, columns=names)
 
-    return pages.join(per_page, "key", "left").select("key", "text", "seen").mapInPandas(run, schema)
+    return pages.join(per_page, "key", "left").select("key", "host", "text", "seen").mapInPandas(run, schema)
 
 
 def furniture_lines(df: DataFrame) -> DataFrame:

@@ -20,14 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows that cost far more than reading them, in tasks of an even number of rows.
+    """A scan whose rows cost far more than reading them, on all cores of the session.
 
-    Scans are cut by compressed bytes and a table of few files gives few tasks; where the plan has
-    fewer tasks than the session's shuffle partitions, rows are dealt out to that many. That
-    setting grows with the data as for any other shuffle, and a larger scan stays as it is.
+    Only a table of too few files to occupy them is dealt out; a larger one is never shuffled.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def store(df: DataFrame) -> DataFrame:

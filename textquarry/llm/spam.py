@@ -34,7 +34,7 @@ from textquarry.llm.common import cut, spread
 
 #: at most about so many labelled pages train the trees
 TRAIN_ROWS = 20_000
-TREES, DEPTH = 15, 6
+TREES, DEPTH, LEAF = 15, 6, 2
 #: shares of characters in stuffed lines that give a weak label
 SPAM_FROM, CLEAN_TO = 0.6, 0.4
 #: a link needs so many words around it to be more than an entry of a list
@@ -211,7 +211,7 @@ def scores(pages: DataFrame) -> DataFrame:
     share = min(1.0, TRAIN_ROWS / sum(counts.values()))
     train = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vector", "label")
     trees = RandomForestClassifier(
-        featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", seed=7
+        featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, featureSubsetStrategy="all", seed=7
     ).fit(train)
     scored = trees.transform(vectors).withColumn("q", vector_to_array("probability")[1])
     # a leaf without a counter-example isn't certainty
