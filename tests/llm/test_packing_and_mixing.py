@@ -13,10 +13,10 @@ def loads(plan, hist):
     used = Counter()
     for length, slots in plan.slots.items():
         slots = sorted(slots)
-        for i, (start, first, per, phase) in enumerate(slots):
+        for i, (start, first, per) in enumerate(slots):
             end = slots[i + 1][0] if i + 1 < len(slots) else hist[length]
             for r in range(start, end):
-                used[first + (r - start + phase) // per] += length
+                used[first + (r - start) // per] += length
     return used
 
 
@@ -29,21 +29,30 @@ def test_every_piece_fits(hist):
     assert max(used.values(), default=0) <= 64 and len(used) == plan.containers
 
 
-def test_near_the_bound():
+@pytest.mark.parametrize("capacity", [64, 1024, 4096])
+def test_near_the_bound_and_no_worse_than_tightest_fit(capacity):
     rng = np.random.default_rng(2)
-    hist = Counter(int(x) for x in np.clip(rng.gamma(2, 120, 20_000), 1, 1024))
-    plan = packing.Plan(dict(hist), 1024)
-    assert plan.containers <= 1.01 * sum(k * v for k, v in hist.items()) / 1024
+    hist = Counter(int(x) for x in np.clip(rng.gamma(2, capacity / 9, 20_000), 1, capacity))
+    plan = packing.Plan(dict(hist), capacity)
+    assert plan.bound <= plan.containers <= min(1.001 * plan.bound + 1, packing.Plan.tightest_fit(hist, capacity))
+    assert plan.rest <= 0.05 * sum(k * v for k, v in hist.items())
+
+
+def test_bound_is_below_the_optimum():
+    assert packing.Plan({6: 10}, 10).bound == packing.Plan({6: 10}, 10).containers == 10  # no two of them fit together
+    assert packing.Plan({5: 4, 10: 2}, 10).bound == 4
     with pytest.raises(ValueError):
         packing.Plan({}, 0)
 
 
 def test_knapsack_is_optimal():
-    sizes, values = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.1])
-    best = max(
-        (a * 3.0 + b * 5.5 + c * 7.1 for a in range(9) for b in range(6) for c in range(4) if 3 * a + 5 * b + 7 * c <= 25), default=0
-    )
-    assert packing.knapsack(values, sizes, 25) @ values == pytest.approx(best)
+    sizes, values = np.array([3, 5, 7, 20]), np.array([3.0, 5.5, 7.1, 21.0])
+    for room in range(40):
+        best = max(
+            a * 3.0 + b * 5.5 + c * 7.1 + d * 21.0
+            for a in range(14) for b in range(9) for c in range(6) for d in range(3) if 3 * a + 5 * b + 7 * c + 20 * d <= room
+        )
+        assert packing.knapsack(values, sizes, room)[-1] == pytest.approx(best)
 
 
 def test_pack(spark):

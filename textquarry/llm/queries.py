@@ -75,19 +75,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[tuple[str, int]]]:
     specs = [tuple(r) for r in table(spark, d, "container_specs").select("container_kind", "capacity_tokens").collect()]
     sizes = token_counts(table(spark, d, "documents"), "doc_id", "text")
-    return packing.pack(sizes, specs)[0], specs
+    return *packing.pack(sizes, specs), specs
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every text with its container, for each kind of container."""
-    packed, _ = _packed(spark, d)
+    packed, _, _ = _packed(spark, d)
     return packed.select("container_kind", "container_id", F.col("key").alias("doc_id"), "piece_no", "start", "len")
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, with their lower bound and what tightest fit alone would need."""
     return packing.report(*_packed(spark, d))
 
 
