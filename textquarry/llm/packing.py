@@ -78,7 +78,7 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray
             best = (np.maximum.accumulate(grid.reshape(rows, s) - gain, axis=0) + gain).reshape(-1)[: capacity + 1]
     beside = best.copy()
     for s, v in zip(sizes[~several].tolist(), values[~several].tolist(), strict=True):
-        if v > 0:
+        if v > 0 and s <= capacity:
             np.maximum(best[s:], v + beside[: capacity + 1 - s], out=best[s:])
     return np.maximum.accumulate(best)
 
