@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textquarry.llm.common import store
+
 # Letters of other alphabets and the Latin letter each looks like.
 CYRILLIC_LIKE = "асԁеһіјӏорԛѕуѵԝхАВЕНІЈКМОРЅТУХԌҮѴԜ"
 CYRILLIC_AS = "acdehijlopqsyvwxABEHIJKMOPSTYXGYVW"
@@ -139,7 +141,7 @@ def canonical_words(found: DataFrame) -> DataFrame:
 
 def lookalike_cases(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, fld) of every stored value with at least one word that isn't canonical; distinct."""
-    found = words(values(df, key, fields))
+    found = store(words(values(df, key, fields)))
     odd = canonical_words(found).select("word", "script")
     return found.join(odd, ["word", "script"], "left_semi").select("key", "fld").distinct()
 
@@ -149,7 +151,7 @@ def canonical_text(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     Rows whose values hold no variant are never rewritten.
     """
-    found = words(values(df.select(key, *fields).dropDuplicates([key]), key, fields))
+    found = store(words(values(df.select(key, *fields).dropDuplicates([key]), key, fields)))
     odd = canonical_words(found)
     swaps = (
         found.join(odd, ["word", "script"])
