@@ -4,12 +4,16 @@ All steps are DataFrame operations over the lines of the records:
 
 * *Furniture.* Numbers of a line, also badly recognised ones, are masked; a masked line that
   stands at page edges of its record again and again is a running header or footer, a line that is
-  nothing but a page number (with its decoration) always is. A line at the top of a page that ends
-  although the next word would still have fitted, and a short title-like line at an edge, is a
-  header as well; this finds headers of single pages and badly recognised ones.
+  nothing but a page number (with its decoration), or a short line with one set apart, always is. A
+  line at the top of a page that ends although the next word would still have fitted is a header as
+  well, and so is a short line at an edge that is made of parts of titles only, whichever record
+  they are the titles of (numbers masked, glyphs made equal); this finds headers of single pages.
 * *Misread words.* Words are grouped by a skeleton in which glyphs that scanners confuse are equal.
   A word is misread if another form of its skeleton is :data:`DOMINANCE` times as frequent over all
-  records; the words around it keep their lines, so a form is only chosen from words of the corpus.
+  records and supported by the context: somewhere in the corpus that form stands after the same
+  word, or before the same word, as this one does. Of several such forms the one with more support
+  is taken. Windows of Han characters hold their neighbours themselves. Without any support a form
+  has to be :data:`BEYOND_DOUBT` times as frequent.
 * *Broken words.* A line that ends with a hyphen is joined with the next body line, be it on the
   next page, unless the hyphenated form of the whole word is more frequent than the joined one.
 * *Reflow.* Windows over the body lines number the paragraphs: a blank line or a sentence's end on
@@ -21,6 +25,7 @@ twice is taken once (by key); results are distinct. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,6 +38,7 @@ from textquarry.llm.common import store
 
 #: a form must be so many times as frequent as the word it replaces, and occur so often
 DOMINANCE, ENOUGH = 8, 5
+BEYOND_DOUBT = 60
 # Signs that mark a word split at the end of a line.
 HYPHENS = "-‐¬­"
 # Glyphs that stand for a digit or letter, and groups of letters read as one letter.
@@ -54,12 +60,10 @@ _NUMBER_LINE = "|".join(
         r"^[ivxlcdm1]{1,9}$",
     )
 )
-_NUMBERED = rf"\S / \S{{1,4}} {_NUM}$"
-#: a title and its page number, set wide apart or with a dot between
-_SPACED_NUMBER = rf"^{_NUM}\s{{3,}}\S|\S\s{{3,}}{_NUM}$|\S · {_NUM}$"
-_TITLE = r"^\p{Lu}[^.;!?]* – [^.;!?]* / |^[^.;!?]*: [^.;!?]* \(lib|^\S+的\S+：\S+$|^\S+与\S+( \d+\.\d+)?$"
-_VERSION_TITLE = r"^[^.;!?,]* \d+\.\d+, [^.;!?,]*$"
-_SHORT_VERSION_TITLE = r"^[^.;!?,]* \d+\.\d+, [^.;!?, ]+( [^.;!?, ]+){0,2}$"
+#: a page number set apart from a short title: by a wide space, or by a sign and at most one word
+_BESIDE_NUMBER = rf"^{_NUM}\s{{3,}}\S|\S\s{{3,}}{_NUM}$|\S [·•|/–—] (?:\S{{1,4}} )?{_NUM}$"
+#: what parts of titles are set apart by, and names in brackets, which are no part
+_PARTS, _BRACKETS = r"\s[–—/·|-]\s|[:：,，的与]", r"\([^()]*\)?"
 _ENDS = ".!?:;,。！？：；，、)]）”\"'»…"
 #: numbers, addresses and words that no writer would write: letters in numbers and the reverse
 _IMPOSSIBLE = (
@@ -111,17 +115,42 @@ def _mask(line: Column) -> Column:
     return skeleton(F.regexp_replace(F.regexp_replace(line, numbers, ""), r"[\s\d]+", ""))
 
 
-def _has_title_sign(c: str) -> Column:
-    """Cheaply: whether a line holds any of the signs that titles are made with."""
-    return F.contains(F.col(c), F.lit(" – ")) | F.contains(F.col(c), F.lit(": ")) | F.contains(F.col(c), F.lit("的")) | F.contains(F.col(c), F.lit("与"))
+def _parts(line: Column) -> Column:
+    """The parts of a title or line, masked and hashed; parts of fewer than 4 characters don't count."""
+    parts = F.transform(F.split(F.regexp_replace(line, _BRACKETS, ""), _PARTS), lambda x: F.regexp_replace(_mask(x), r"\P{L}+", ""))
+    return F.transform(F.filter(parts, lambda x: F.char_length(x) >= 4), lambda x: F.xxhash64(x))
 
 
-def page_lines(recs: DataFrame) -> DataFrame:
-    """(tbl, rec_key, line_no, s, blank_before, furniture) of every non-blank line."""
+def _open(s: Column) -> Column:
+    """Whether a line goes on without the end of a sentence, as titles do."""
+    return ~F.contains(F.lit(_ENDS), F.right(s, F.lit(1))) | s.rlike(r"\(\S*lib\S*\)$|\.\S?o\)$")
+
+
+def titled_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
+    """(tbl, rec_key, titled): the numbers of each record's short lines that consist of parts of titles.
+
+    ``titles`` (title) are those of the whole corpus; each part counts once, however often it
+    stands in titles. All parts must be known; of three or more the last one may be cut off.
+    """
+    known = titles.where("title is not null").select(F.explode(_parts(F.col("title"))).alias("part")).distinct()
+    lines = recs.select(*REC, F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("s", F.trim(F.regexp_replace("raw", r"[\f\t\r]", " ")))
+    short = lines.where((F.char_length("s") >= 4) & (F.char_length("s") <= 70)).where(_open(F.col("s")))
+    parts = short.select(*REC, "line_no", F.posexplode(_parts(F.col("s"))).alias("at", "part"))
+    found = parts.join(known.withColumn("hit", F.lit(1)), "part", "left")
+    last = F.max(F.struct("at", "hit"))
+    by_line = found.groupBy(*REC, "line_no").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), last.alias("last"))
+    enough = (F.col("hits") == F.col("n")) | (F.col("n") > 2) & (F.col("hits") == F.col("n") - 1) & F.col("last.hit").isNull()
+    return by_line.where(enough).groupBy(*REC).agg(F.collect_set("line_no").alias("titled"))
+
+
+def page_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
+    """(tbl, rec_key, line_no, s, blank_before, furniture) of every non-blank line; ``titles`` (title) are the corpus's."""
     w = Window.partitionBy(*REC).orderBy("line_no")
     whole = Window.partitionBy(*REC)
     lines = (
-        recs.withColumn("title_skel", skeleton(F.col("title"))).select(*REC, "title_skel", "pages", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+        recs.join(titled_lines(recs, titles), REC, "left")
+        .withColumn("title_skel", skeleton(F.col("title")))
+        .select(*REC, "title_skel", "pages", "titled", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
         .withColumn("s", F.trim(F.regexp_replace("raw", r"[\f\t\r]", " ")))
         .where("s <> ''")
         .withColumn("number", (F.char_length("s") <= 24) & F.col("s").rlike(_NUMBER_LINE))
@@ -132,10 +161,9 @@ def page_lines(recs: DataFrame) -> DataFrame:
         .withColumn("bottom2", F.coalesce(F.lead("bottom").over(w), F.lit(False)))
         .withColumn("next", F.lead("s").over(w))
         .withColumn("edge", F.expr("top or bottom or top2 or bottom2"))
-        .withColumn("open", (F.char_length("s") <= 90) & (~F.contains(F.lit(_ENDS), F.right("s", F.lit(1))) | F.col("s").rlike(r"\(\S*lib\S*\)$|\.\S?o\)$")))
-        .withColumn("titled", F.col("open") & (F.char_length("s") <= 70) & _has_title_sign("s") & F.col("s").rlike(_TITLE))
+        .withColumn("open", (F.char_length("s") <= 90) & _open(F.col("s")))
+        .withColumn("titled", F.coalesce(F.array_contains("titled", F.col("line_no")), F.lit(False)))
         .withColumn("m", F.when((F.col("edge") & F.col("open") | F.col("titled")) & ~F.col("number"), _mask(F.col("s"))))
-        .withColumn("before", F.when(F.lag("number").over(w), F.lag("s", 2).over(w)).otherwise(F.lag("s").over(w)))
     )
     again = Window.partitionBy(*REC, "m")
     lines = (
@@ -153,19 +181,11 @@ def page_lines(recs: DataFrame) -> DataFrame:
     capitals = (F.upper("s") == F.col("s")) & (F.lower("s") != F.col("s")) & F.col("s").rlike(r"\p{Lu}{4}") & ~han
     of_title = (F.char_length("s") >= 4) & F.startswith(F.col("title_skel"), skeleton(F.col("s")))
     head = F.col("top") & F.col("next").isNotNull() & room
-    # a header stands between two lines of which either both or none are at a sentence's bound
-    ended = F.coalesce(F.col("before").rlike(r"[.!?:。！？：][)”\"'»）]*$"), F.lit(True))
-    fits = ended == F.coalesce(F.col("next").rlike(r"^[\p{Lu}/]"), F.lit(True))
-    titled = (F.col("top") | F.col("bottom") | F.col("top2") | F.col("bottom2")) & (
-        F.col("s").rlike(_NUMBERED)
-        | ((F.col("top") | F.col("bottom")) & (capitals | F.coalesce(of_title, F.lit(False))))
-        | F.col("titled")
-        | ((F.char_length("s") <= 60) & (F.col("top") | F.col("top2")) & F.col("s").rlike(_VERSION_TITLE) & (fits | F.col("s").rlike(_SHORT_VERSION_TITLE)))
-    )
-    lines = lines.withColumn(
-        "furniture",
-        F.coalesce(F.col("number") | (F.col("open") & F.col("s").rlike(_SPACED_NUMBER)) | (F.col("open") & F.col("edge") & (F.col("repeated") | alike | head | titled)) | (F.col("titled") & F.col("repeated")), F.lit(False)),
-    )
+    at_edge = (F.col("top") | F.col("bottom")) & (capitals | F.coalesce(of_title, F.lit(False))) | F.col("edge") & F.col("titled")
+    numbered = (F.char_length("s") <= 70) & F.col("s").rlike(_BESIDE_NUMBER)
+    running = F.col("open") & F.col("edge") & (F.col("repeated") | alike | head | at_edge)
+    furniture = F.col("number") | F.col("open") & numbered | running | F.col("titled") & F.col("repeated")
+    lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
     # the split word at the end of a body line: what stands before the hyphen and opens the next body line
     following = F.lead("s").over(Window.partitionBy(*REC, "furniture").orderBy("line_no"))
     hyphened = F.contains(F.lit(HYPHENS), F.right("s", F.lit(1))) & ~F.col("furniture")
@@ -178,34 +198,63 @@ def page_lines(recs: DataFrame) -> DataFrame:
     )
 
 
-def judged_words(s: str) -> list[str]:
-    """The distinct words of a line that can be judged, compounds as a whole as well.
+def judged_words(s: str) -> dict[str, tuple[str, str]]:
+    """The distinct words of a line that can be judged, with the words before and after each.
 
-    Lines of Han text are cut within words, so their ends are left out; so is a hyphened last word.
+    Compounds as a whole are judged as well. Lines of Han text are cut within words, so their ends
+    are left out; so is a hyphenated last word. Windows of Han characters and compounds have no
+    words beside them.
     """
+    found: dict[str, tuple[str, str]] = {}
     if _HAN_CHAR.search(s):
-        found = _HAN_WINDOWS.findall(s)
+        found = dict.fromkeys(_HAN_WINDOWS.findall(s), ("", ""))
         inner = _ASCII_ENDS.sub(" ", s)
     else:
-        found, inner = [], _LAST_PART.sub(" ", s)
+        inner = _LAST_PART.sub(" ", s)
         if "-" in inner or "‐" in inner:
-            found = [w.replace("‐", "-") for w in _COMPOUND.findall(inner)]
-    for w in _WORDS.findall(_CAMEL.sub(" ", inner)):
+            found = dict.fromkeys((w.replace("‐", "-") for w in _COMPOUND.findall(inner)), ("", ""))
+    words = _WORDS.findall(_CAMEL.sub(" ", inner))
+    for i, w in enumerate(words):
         if len(w) >= 4 and w.isalpha() or not w.isdigit() and _LETTER.search(w) and not _NAME.match(w) and (len(w) >= 4 or not w.isalpha()):
-            found.append(w)
-    return list(dict.fromkeys(found))
+            found.setdefault(w, (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+    return found
+
+
+class _Codes(dict):
+    """A number for each word beside another, the same for words that look alike; 0 for none."""
+
+    def __missing__(self, word: str) -> int:
+        low = word.translate(_ALIKE).lower()
+        for pair, one in PAIRS:
+            low = low.replace(pair, one)
+        code = int.from_bytes(hashlib.blake2b(low.encode(), digest_size=4).digest(), "big", signed=True) if word else 0
+        if len(self) < 200_000:
+            self[word] = code
+        return code
+
+
+_ALIKE = str.maketrans(GLYPHS, GLYPHS_AS)
 
 
 def words_of(body: DataFrame) -> DataFrame:
-    """(id, word): the distinct judged words of each line, written once."""
+    """(id, word, left, right): the distinct judged words of each line and their neighbours, written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code = _Codes()
         for b in batches:
             words = [judged_words(s) for s in b["s"]]
             n = np.fromiter(map(len, words), np.int64, len(words))
-            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), n), "word": [w for ws in words for w in ws]})
+            beside = [x for ws in words for x in ws.values()]
+            yield pd.DataFrame(
+                {
+                    "id": np.repeat(b["id"].to_numpy(), n),
+                    "word": [w for ws in words for w in ws],
+                    "left": np.fromiter((code[x] for x, _ in beside), np.int32, len(beside)),
+                    "right": np.fromiter((code[x] for _, x in beside), np.int32, len(beside)),
+                }
+            )
 
-    return store(body.select("id", "s").mapInPandas(run, "id bigint, word string"))
+    return store(body.select("id", "s").mapInPandas(run, "id bigint, word string, left int, right int"))
 
 
 def word_counts(words: DataFrame) -> DataFrame:
@@ -215,22 +264,36 @@ def word_counts(words: DataFrame) -> DataFrame:
     return store(counted.select("word", "n", skeleton(F.col("word")).alias("skel"), other.alias("other"), F.lower("word").alias("low")))
 
 
-def misread_words(counted: DataFrame) -> DataFrame:
-    """(word, form): each misread word with the frequent form of its skeleton.
+def other_forms(counted: DataFrame) -> DataFrame:
+    """(word, low, form, times): each word with every form of its skeleton that is frequent enough to replace it.
 
-    Of several frequent forms the most frequent one counts; a form that is itself frequent enough
-    is never replaced.
+    ``times`` is how many times as frequent it is. A form that is itself frequent enough is never replaced.
     """
     found = None
     for skel in ("skel", "other"):
         low = counted.groupBy(F.col(skel).alias("skel"), "low").agg(F.sum("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("form"))
-        best = low.groupBy("skel").agg(F.max(F.struct("n", "low", "form")).alias("best"), F.count("*").alias("forms"))
-        rare = F.col("best.n") >= F.greatest(F.lit(ENOUGH), DOMINANCE * F.col("n"))
-        bad = low.join(best.where("forms > 1"), "skel").where((F.col("best.low") != F.col("low")) & rare)
-        bad = bad.select("low", F.col("best.n").alias("n"), F.col("best.form").alias("form"))
+        forms = low.where(F.col("n") >= ENOUGH).select("skel", F.col("low").alias("other_low"), F.col("n").alias("n_form"), "form")
+        bad = low.drop("form").join(forms, "skel").where((F.col("other_low") != F.col("low")) & (F.col("n_form") >= DOMINANCE * F.col("n")))
+        bad = bad.select("low", "form", (F.col("n_form") / F.col("n")).alias("times"))
         found = bad if found is None else found.unionByName(bad)
-    chosen = found.groupBy("low").agg(F.max_by("form", F.struct("n", "form")).alias("form"))
-    return counted.select("word", "low").join(chosen, "low").select("word", "form")
+    found = found.groupBy("low", "form").agg(F.max("times").alias("times"))
+    return counted.select("word", "low").join(found, "low")
+
+
+def misread_words(words: DataFrame, counted: DataFrame) -> DataFrame:
+    """(id, word, form): each misread word of a line with the form that its context supports."""
+    forms = store(other_forms(counted))
+    seen = store(words.join(forms.drop("low"), "word").select("id", "word", "form", "left", "right", "times"))
+    support = None
+    for side in ("left", "right"):
+        asked = seen.where(F.col(side) != 0).select(F.lower("form").alias("low"), side).distinct()
+        there = words.where(F.col(side) != 0).select(F.lower("word").alias("low"), side)
+        one = there.join(asked, ["low", side]).groupBy("low", side).agg(F.count("*").alias(f"n_{side}"))
+        support = (seen.withColumn("low", F.lower("form")) if support is None else support).join(one, ["low", side], "left")
+    by_itself = F.col("word").rlike(r"\p{IsHan}") | F.col("word").contains("-")
+    n = F.coalesce("n_left", F.lit(0)) + F.coalesce("n_right", F.lit(0))
+    fit = support.withColumn("support", n).where((F.col("support") > 0) | by_itself | (F.col("times") >= BEYOND_DOUBT))
+    return fit.groupBy("id", "word").agg(F.max_by("form", F.struct("support", "times", "form")).alias("form"))
 
 
 def broken_words(body: DataFrame, counted: DataFrame) -> DataFrame:
@@ -249,13 +312,17 @@ def broken_words(body: DataFrame, counted: DataFrame) -> DataFrame:
     )
 
 
+def _titles(parsed: DataFrame, media: DataFrame) -> DataFrame:
+    return parsed.select("title").unionByName(media.select("title"))
+
+
 def noise_cases(parsed: DataFrame, media: DataFrame) -> DataFrame:
     """(tbl, rec_key, line_no, kind): every line that is furniture, broken or misread; distinct."""
-    lines = store(page_lines(records(parsed, media)))
+    lines = store(page_lines(records(parsed, media), _titles(parsed, media)))
     body = lines.where("not furniture")
     words = words_of(body)
     counted = word_counts(words)
-    by_word = words.join(misread_words(counted), "word", "left_semi").select("id")
+    by_word = misread_words(words, counted).select("id")
     misread = by_word.unionByName(body.where(F.col("s").rlike(_IMPOSSIBLE)).select("id")).distinct()
     kinds = misread.select("id", F.lit("misread").alias("kind")).unionByName(
         broken_words(body, counted).select("id", F.lit("broken").alias("kind"))
@@ -271,12 +338,12 @@ def noise_cases(parsed: DataFrame, media: DataFrame) -> DataFrame:
 
 def repaired_text(parsed: DataFrame, media: DataFrame) -> DataFrame:
     """(tbl, rec_key, text): each record as continuous paragraphs, separated by blank lines."""
-    lines = store(page_lines(records(parsed, media)))
+    lines = store(page_lines(records(parsed, media), _titles(parsed, media)))
     body = lines.where("not furniture")
     words = words_of(body)
     counted = word_counts(words)
     swaps = (
-        words.join(misread_words(counted), "word")
+        misread_words(words, counted)
         .groupBy("id")
         .agg(F.map_from_entries(F.collect_set(F.struct("word", "form"))).alias("swap"))
     )
