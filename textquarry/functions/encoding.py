@@ -46,14 +46,6 @@ def _decode(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else decoded(bytes(b)))
 
 
-@F.pandas_udf(T.StringType())
-def _repair(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else repaired(t))
-
-
 def decode_text(content: Column) -> Column:
     return _decode(content)
 
-
-def repair_text(text: Column) -> Column:
-    return _repair(text)

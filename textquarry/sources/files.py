@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions.encoding import decoded
-from textquarry.model import PARSED, SUFFIXES, source_type_of
+from textquarry.model import PARSED, source_type_of
 from textquarry.sources import html, office
 
 #: texts beside an image, by priority
@@ -60,7 +60,7 @@ def parse_file(source_path: str, source_type: str, data: bytes, folder: str = "d
         text, title, found = page.text, page.title or title, page.files
         meta |= {"table_count": page.tables, "images": page.images}
     elif source_type == "pdf":
-        text, meta["page_count"], meta["parser"] = office.pdf_document(data)
+        text, meta["parser"] = office.pdf_text(data), "pdf-basic"
     elif source_type == "docx":
         text, own = office.docx_text(data)
         title = own or title
@@ -125,6 +125,3 @@ def inline_images(files: DataFrame, folder: str = "data/images") -> DataFrame:
     pages = files.where("source_type = 'html'").select("source_path", "content")
     return pages.mapInPandas(run, "local_path string, source_path string, content binary")
 
-
-def supported(path: str) -> bool:
-    return any(path.lower().endswith(s) for suffixes in SUFFIXES.values() for s in suffixes)

@@ -39,64 +39,6 @@ def _run_text(node: ET.Element) -> str:
     return "".join(out).strip()
 
 
-def pdf_document(data: bytes) -> tuple[str, int | None, str]:
-    """(text, pages, reader): the first reader that is installed and finds text; else the basic one.
-
-    Nothing but the basic reader is needed; each of the others is used where its library is there,
-    and an error in one only means that the next is tried.
-    """
-    for reader in (_by_pypdf, _by_pymupdf, _by_pdfplumber, _by_ocr):
-        try:
-            text, pages, name = reader(data)
-        except Exception:  # noqa: BLE001 - not installed, or not a file this library can read
-            continue
-        if text.strip():
-            return text, pages, name
-    return pdf_text(data), None, "pdf-basic"
-
-
-def _pages(texts: list[str]) -> str:
-    return "\n\n".join(t.strip() for t in texts if t and t.strip())
-
-
-def _by_pypdf(data: bytes) -> tuple[str, int, str]:
-    from pypdf import PdfReader
-
-    pages = PdfReader(io.BytesIO(data)).pages
-    return _pages([p.extract_text() for p in pages]), len(pages), "pypdf"
-
-
-def _by_pymupdf(data: bytes) -> tuple[str, int, str]:
-    import fitz
-
-    with fitz.open(stream=data, filetype="pdf") as doc:
-        return _pages([p.get_text("text") for p in doc]), doc.page_count, "pymupdf"
-
-
-def _by_pdfplumber(data: bytes) -> tuple[str, int, str]:
-    import pdfplumber
-
-    with pdfplumber.open(io.BytesIO(data)) as doc:
-        texts = []
-        for p in doc.pages:
-            tables = [_grid([[c or "" for c in row] for row in t]) for t in p.extract_tables()]
-            texts.append("\n\n".join(filter(str.strip, [p.extract_text() or "", *tables])))
-        return _pages(texts), len(doc.pages), "pdfplumber"
-
-
-def _by_ocr(data: bytes) -> tuple[str, int, str]:
-    import fitz
-    import pytesseract
-    from PIL import Image
-
-    with fitz.open(stream=data, filetype="pdf") as doc:
-        texts = []
-        for p in doc:
-            m = p.get_pixmap(matrix=fitz.Matrix(2, 2), alpha=False)
-            texts.append(pytesseract.image_to_string(Image.frombytes("RGB", [m.width, m.height], m.samples), lang="chi_sim+eng"))
-        return _pages(texts), doc.page_count, "pdf-ocr"
-
-
 def _grid(rows: list[list[str]]) -> str:
     width = max(map(len, rows), default=0)
     return "\n".join(" | ".join(r + [""] * (width - len(r))) for r in rows)
