@@ -180,5 +180,5 @@ class Engine:
         return self.store.read("media").orderBy("local_path")
 
     def status(self) -> DataFrame:
-        names = ("documents", "chunks", "terms", "media")
-        return browse.status(**{n: self.store.read(n) for n in names})
+        names = {"documents": "documents", "chunks": "chunks", "fts_rows": "lengths", "term_rows": "terms", "media": "media"}
+        return browse.status(source_files=self._files(), **{n: self.store.read(t) for n, t in names.items()})

@@ -67,9 +67,12 @@ def by_type_line(docs: DataFrame) -> DataFrame:
 
 
 def status(**tables: DataFrame) -> DataFrame:
-    """(name, rows) of each table."""
+    """(name, rows) of each table, and of the documents of each type as ``documents: type``."""
     out = None
     for name, df in tables.items():
         one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         out = one if out is None else out.unionByName(one)
+    if "documents" in tables:
+        types = tables["documents"].groupBy("source_type").agg(F.count("*").alias("rows"))
+        out = out.unionByName(types.select(F.concat(F.lit("documents: "), F.coalesce("source_type", F.lit("none"))).alias("name"), "rows"))
     return out

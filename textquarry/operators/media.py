@@ -12,6 +12,11 @@ def updated(manifest: DataFrame, sources: DataFrame, images: DataFrame) -> DataF
     return kept.unionByName(images.where("local_path <> ''").select(*manifest.columns))
 
 
+def dropped(manifest: DataFrame, stays: DataFrame) -> DataFrame:
+    """The entries of the manifest that :func:`collect` doesn't keep."""
+    return manifest.join(stays.select("local_path"), "local_path", "left_anti")
+
+
 def collect(manifest: DataFrame, active: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The entries that stay, and the files to delete: (local_path).
 

@@ -30,12 +30,25 @@ def diff(stored: DataFrame, current: DataFrame, indexed_docs: DataFrame | None =
     )
 
 
-def counters(changes: DataFrame) -> DataFrame:
-    """(seen, indexed, skipped, deleted) from the status of all paths."""
-    n = lambda *s: F.coalesce(F.sum(F.col("status").isin(*s).cast("int")), F.lit(0)).alias
-    return changes.agg(
-        n("new", "changed", "unchanged")("seen"), n("new", "changed")("indexed"), n("unchanged")("skipped"), n("deleted")("deleted")
-    )
+#: what a run counts, in the order it is reported
+COUNTERS = ("seen", "indexed", "skipped", "chunks", "deleted", "media_deleted_files", "media_deleted_entries", "failed")
+
+
+def counters(changes: DataFrame, chunks: DataFrame, deleted_files: DataFrame, deleted_entries: DataFrame) -> DataFrame:
+    """One row with :data:`COUNTERS`.
+
+    ``changes`` has the status of all paths, also ``failed``; ``chunks`` are those of new and
+    changed documents; the others are the media files and manifest entries that go.
+    """
+    n = lambda *s: F.coalesce(F.sum(F.col("status").isin(*s).cast("int")), F.lit(0)).cast("bigint").alias
+    by_status = changes.agg(
+        n("new", "changed", "unchanged", "failed")("seen"), n("new", "changed")("indexed"), n("unchanged")("skipped"),
+        n("deleted")("deleted"), n("failed")("failed"),
+    )
+    one = by_status
+    for name, rows in (("chunks", chunks), ("media_deleted_files", deleted_files), ("media_deleted_entries", deleted_entries)):
+        one = one.crossJoin(rows.agg(F.count("*").alias(name)))  # one row each
+    return one.select(*COUNTERS)
 
 
 def merged(stored: DataFrame, current: DataFrame, changes: DataFrame, now: str) -> DataFrame:

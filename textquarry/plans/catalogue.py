@@ -134,9 +134,40 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(typed).select("doc_id", "chunk_index", "section", "chunk_id")
 
 
-@query()
+_FOLD = """list_reduce(list_prepend({'o': cast([] as struct(n varchar, t varchar)[]), 'n': cast(null as varchar), 't': cast(null as varchar), 's': 0},
+    list_transform(ps, lambda p: {'o': cast([] as struct(n varchar, t varchar)[]), 'n': p.n, 't': p.t, 's': 0})), lambda a, x:
+    case when length(x.t) > 1200 then {'o': list_append(case when a.t is null then a.o else list_append(a.o, {'n': a.n, 't': a.t}) end, {'n': x.n, 't': x.t}),
+            'n': cast(null as varchar), 't': cast(null as varchar), 's': 0}
+        when a.t is not null and a.s + length(x.t) + 2 <= 1200 then {'o': a.o, 'n': a.n || ', ' || x.n, 't': a.t || chr(10) || chr(10) || x.t, 's': cast(a.s + length(x.t) + 2 as integer)}
+        else {'o': case when a.t is null then a.o else list_append(a.o, {'n': a.n, 't': a.t}) end, 'n': x.n, 't': x.t, 's': cast(length(x.t) + 2 as integer)} end)"""
+_TYPE_SQL = r"(?m)^\s*(?:public|private|protected|static|final|internal|export|inline|suspend|native|\s)*(?:class|interface|enum|object|fun|function)\s+([A-Za-z_$][\w$]*)"
+_METHOD_SQL = (
+    r"(?m)^\s*(?:public|private|protected|static|final|native|synchronized|override|inline|\s)+[\w<>\[\].?$]+\s+([A-Za-z_$][\w$]*)"
+    r"\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?\{?"
+)
+_SMALI_NAME = r"case when regexp_extract(regexp_extract(x, '^[^\n]*'), '([<>\w$]+)\s*\(', 1) <> '' then regexp_extract(regexp_extract(x, '^[^\n]*'), '([<>\w$]+)\s*\(', 1) else " + q.strip(r"regexp_extract(x, '^[^\n]*')") + " end"
+
+
+def _sections_sql(parts: str, head: str, name: str) -> str:
+    texts = f"list_transform({parts}, lambda x: {{'n': {name}, 't': {q.strip('split_part(x, chr(2), 1)')}}})"
+    first = f"case when {q.strip(parts + '[1]')} <> '' then [{{'n': '{head}', 't': {q.strip(parts + '[1]')}}}] else [] end"
+    return f"case when len({parts}) > 1 then list_concat({first}, {texts}[2:]) else [] end"
+
+
+@query(rf"""with {q.PARSED}, code as (select doc_id, text, lower(regexp_extract(source_path, '\.([^./]*)$', 1)) lang from parsed_ where source_type = 'code' and text <> ''),
+marked as (select *, string_split(regexp_replace(text, '{_TYPE_SQL}', chr(1) || '\0', 'g'), chr(1)) ty, string_split(regexp_replace(text, '{_METHOD_SQL}', chr(1) || '\0', 'g'), chr(1)) me,
+    string_split(regexp_replace(regexp_replace(text, '(?m)^\.method\b.*$', chr(1) || '\0', 'g'), '(?m)^\.end method\b.*$', '\0' || chr(2), 'g'), chr(1)) sm,
+    string_split(regexp_replace(text, '{chunking.PYTHON_SYMBOL}', chr(1) || '\0', 'g'), chr(1)) py from code),
+found as (select doc_id, text, {_sections_sql("ty", "preamble", f"regexp_extract(x, '{_TYPE_SQL}', 1)")} fty, {_sections_sql("me", "preamble", f"regexp_extract(x, '{_METHOD_SQL}', 1)")} fme,
+    {_sections_sql("sm", "class-header", _SMALI_NAME)} fsm, {_sections_sql("py", "preamble", f"regexp_extract(x, '{chunking.PYTHON_SYMBOL}', 1)")} fpy, lang from marked),
+one as (select doc_id, text, case when lang = 'smali' then fsm when lang = 'py' then fpy when lang in {chunking.C_LIKE} then case when len(fty) > 1 then fty else fme end else [] end f from found),
+cparts as (select doc_id, len(f) = 0 plain, case when len(f) > 0 then f else list_transform(list_filter(list_transform(string_split_regex(text, '\n\s*\n'),
+    lambda x: rtrim(x, {q.WS})), lambda x: x <> ''), lambda x: {{'n': 'code', 't': x}}) end ps from one),
+cfolded as (select doc_id, plain, {_FOLD} r from cparts), packed as (select doc_id, plain, case when r.t is null then r.o else list_append(r.o, {{'n': r.n, 't': r.t}}) end ss from cfolded),
+secs as (select doc_id, plain, generate_subscripts(ss, 1) sec, unnest(ss) s from packed), sections as (select doc_id, sec, case when plain then 'code' else s.n end section, s.t text from secs),
+{_PIECES.strip()} select doc_id, chunk_index, case when section <> '' then section else 'chunk-' || chunk_index end section, t text, sha256(concat(doc_id, ':', chunk_index, ':', t)) chunk_id from indexed""")
 def code_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Source files by symbols; checked in tests, SQL has no lookups across lines."""
+    """Source files by symbols."""
     code = parsed(spark, d).where("source_type = 'code'")
     language = F.lower(F.regexp_extract("source_path", r"\.([^./]*)$", 1))
     return chunking.chunk_documents(code.select("doc_id", "source_type", language.alias("language"), "text"))
@@ -302,12 +333,17 @@ def docs_by_type_line(spark: SparkSession, d: str) -> DataFrame:
     return browse.by_type_line(docs(spark, d))
 
 
-@query(f"""with {q.CHUNKS}, {q.DOCS} select 'documents' as name, count(*) as rows from docs_ union all select 'chunks', count(*) from chunks_
-union all select 'media', count(distinct local_path) from media""")
+@query(f"""with {q.CHUNKS}, {q.DOCS}, {q.TERMS} select 'documents' as name, count(*) as rows from docs_ union all select 'chunks', count(*) from chunks_
+union all select 'fts_rows', count(*) from chunks_ union all select 'term_rows', count(*) from terms_
+union all select 'source_files', count(distinct source_path) from parsed_documents
+union all select 'media', count(distinct local_path) from media
+union all select 'documents: ' || coalesce(source_type, 'none'), count(*) from docs_ group by source_type""")
 def status(spark: SparkSession, d: str) -> DataFrame:
+    c = chunks(spark, d)
     return browse.status(
-        documents=docs(spark, d), chunks=chunks(spark, d), media=table(spark, d, "media").select("local_path").distinct()
-    )
+        source_files=table(spark, d, "parsed_documents").select("source_path").distinct(), documents=docs(spark, d), chunks=c,
+        fts_rows=index.lengths(c), term_rows=index.terms(c), media=table(spark, d, "media").select("local_path").distinct(),
+    )
 
 
 # --- keeping in sync ------------------------------------------------------------------------------
@@ -318,18 +354,24 @@ def status(spark: SparkSession, d: str) -> DataFrame:
 def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     cols = ["doc_id", "source_path", "source_type", "title", "sha256", "size_bytes", "mtime"]
     stored = first_docs(spark, d).select(*cols, "created_at", "updated_at")
-    live = docs(spark, d).select(*cols).join(table(spark, d, "chunks").select("doc_id").distinct(), "doc_id", "left_semi")
-    current = live.unionByName(parsed(spark, d).select(*cols)).dropDuplicates(["source_path"])
-    return stored, current, sync.diff(stored, current)
-
-
-_STATES = f"""{q.FIRST_DOCS}, {q.DOCS}, {q.PARSED}, current_ as (
-    select distinct on (source_path) doc_id, source_path, source_type, title, sha256, size_bytes, mtime from (
-    select doc_id, source_path, source_type, title, sha256, size_bytes, mtime from docs_ where doc_id in (select doc_id from chunks)
-    union all select doc_id, source_path, source_type, title, sha256, size_bytes, mtime from parsed_)),
+    c = chunks(spark, d)
+    live = docs(spark, d).select(*cols).join(c.select("doc_id").distinct(), "doc_id", "left_semi")
+    both = live.withColumn("fresh", F.lit(0)).unionByName(parsed(spark, d).select(*cols).withColumn("fresh", F.lit(1)))
+    # a path that both deliver is taken from the freshly parsed documents
+    whole = F.struct(*(F.col(x) for x in cols))
+    current = both.groupBy("source_path").agg(F.max_by(whole, F.struct("fresh", "doc_id", "sha256")).alias("r")).select("r.*")
+    return stored, current, sync.diff(stored, current, index.terms(c).join(c.select("chunk_id", "doc_id"), "chunk_id").select("doc_id"))
+
+
+_STATES = f"""{q.FIRST_DOCS}, {q.DOCS}, {q.PARSED}, both_ as (
+    select doc_id, source_path, source_type, title, sha256, size_bytes, mtime, 0 fresh from docs_ where doc_id in (select doc_id from chunks)
+    union all select doc_id, source_path, source_type, title, sha256, size_bytes, mtime, 1 from parsed_), current_ as (select * exclude (fresh, rn) from (
+    select *, row_number() over (partition by source_path order by fresh desc, doc_id desc, sha256 desc) rn from both_) where rn = 1),
+indexed_ as (select distinct doc_id from chunks_ join terms_ using (chunk_id)),
 diff_ as (select coalesce(o.source_path, n.source_path) source_path, case when n.source_path is null then 'deleted'
-    when o.source_path is null then 'new' when o.sha256 = n.sha256 and o.size_bytes = n.size_bytes then 'unchanged' else 'changed' end status
+    when o.source_path is null then 'new' when o.sha256 = n.sha256 and o.size_bytes = n.size_bytes and o.doc_id in (select doc_id from indexed_) then 'unchanged' else 'changed' end status
     from first_ o full outer join current_ n on o.source_path = n.source_path)"""
+_STATES = f"{q.CHUNKS}, {q.TERMS}, {_STATES}"
 
 
 @query(f"with {_STATES} select source_path, status from diff_")
@@ -337,10 +379,37 @@ def sync_diff(spark: SparkSession, d: str) -> DataFrame:
     return _states(spark, d)[2]
 
 
-@query(f"""with {_STATES} select cast(count(*) filter (status <> 'deleted') as bigint) seen, count(*) filter (status in ('new', 'changed')) indexed,
-count(*) filter (status = 'unchanged') skipped, count(*) filter (status = 'deleted') deleted from diff_""")
+def _media_state(spark: SparkSession, d: str, active: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The manifest, what stays of it, and the files that go; images of unknown size count as missing files."""
+    m = table(spark, d, "media").select("local_path", "source_path", "size_bytes")
+    m = m.groupBy("local_path").agg(F.max("source_path").alias("source_path"), F.max("size_bytes").alias("size_bytes"))
+    manifest = m.select("local_path", "source_path")
+    return manifest, *media.collect(manifest, active, m.where("size_bytes is not null"))
+
+
+_MEDIA = """m_ as (select local_path, max(source_path) source_path, max(size_bytes) size_bytes from media group by local_path),
+stays_ as (select * from m_ where source_path in (select source_path from {active}) and size_bytes is not null),
+gone_ as (select local_path from m_ where size_bytes is not null and local_path not in (select local_path from stays_)
+    and not regexp_matches(lower(local_path), '\\.(txt|md)$'))"""
+
+
+@query(f"""with {_STATES}, failed_ as (select source_path from parsed_ where text is null or text = ''),
+status_ as (select source_path, case when status <> 'deleted' and source_path in (select source_path from failed_) then 'failed' else status end status from diff_),
+{_MEDIA.format(active="current_")}
+select cast(count(*) filter (status <> 'deleted') as bigint) seen, count(*) filter (status in ('new', 'changed')) indexed,
+count(*) filter (status = 'unchanged') skipped, (select count(*) from chunks_ where doc_id in (select doc_id from current_ join status_ using (source_path)
+    where status in ('new', 'changed'))) chunks, count(*) filter (status = 'deleted') deleted, (select count(*) from gone_) media_deleted_files,
+(select count(*) from m_) - (select count(*) from stays_) media_deleted_entries, count(*) filter (status = 'failed') failed from status_""")
 def sync_counters(spark: SparkSession, d: str) -> DataFrame:
-    return sync.counters(_states(spark, d)[2])
+    """All counters of a run; freshly parsed documents without text count as failed."""
+    _, current, changes = _states(spark, d)
+    failed = parsed(spark, d).where("text is null or text = ''").select("source_path", F.lit(True).alias("bad"))
+    changes = changes.join(failed, "source_path", "left").select(
+        "source_path", F.when((F.col("status") != "deleted") & F.col("bad"), "failed").otherwise(F.col("status")).alias("status")
+    )
+    written = current.join(changes.where("status in ('new', 'changed')"), "source_path", "left_semi")
+    manifest, stays, gone = _media_state(spark, d, current)
+    return sync.counters(changes, chunks(spark, d).join(written, "doc_id", "left_semi"), gone, media.dropped(manifest, stays))
 
 
 _NOW = "2026-01-01 00:00:00"
@@ -357,7 +426,7 @@ def sync_state(spark: SparkSession, d: str) -> DataFrame:
     return sync.merged(stored, current, changes, _NOW)
 
 
-@query(f"""with {q.CHUNKS}, {_STATES} select chunk_id from chunks_ where doc_id not in
+@query(f"""with {_STATES} select chunk_id from chunks_ where doc_id not in
 (select f.doc_id from first_ f join diff_ x on x.source_path = f.source_path where x.status in ('deleted', 'changed'))""")
 def pruned_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that stay when those of deleted and changed documents are dropped."""
@@ -366,15 +435,11 @@ def pruned_chunks(spark: SparkSession, d: str) -> DataFrame:
     return sync.without(chunks(spark, d), gone, "doc_id").select("chunk_id")
 
 
-@query(f"""with {q.DOCS}, m as (select distinct local_path, source_path from media),
-files as (select distinct local_path from media where size_bytes is not null),
-stays as (select * from m where source_path in (select source_path from docs_) and local_path in (select local_path from files))
-select local_path, 'entry kept' as what from stays union all
-select local_path, 'file deleted' from files where local_path not in (select local_path from stays) and not regexp_matches(lower(local_path), '\\.(txt|md)$')""")
+@query(f"""with {q.DOCS}, {_MEDIA.format(active="docs_")}
+select local_path, 'entry kept' as what from stays_ union all select local_path, 'file deleted' from gone_""")
 def media_collection(spark: SparkSession, d: str) -> DataFrame:
-    """Garbage collection of the image manifest; images of unknown size count as missing files."""
-    m = table(spark, d, "media").select("local_path", "source_path", "size_bytes").dropDuplicates(["local_path"])
-    stays, gone = media.collect(m.select("local_path", "source_path"), docs(spark, d), m.where("size_bytes is not null"))
+    """Garbage collection of the image manifest."""
+    _, stays, gone = _media_state(spark, d, docs(spark, d))
     return stays.select("local_path", F.lit("entry kept").alias("what")).unionByName(gone.select("local_path", F.lit("file deleted").alias("what")))
 
 
