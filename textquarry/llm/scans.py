@@ -133,8 +133,14 @@ def titled_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     stands in titles. All parts must be known; of three or more the last one may be cut off.
     """
     known = titles.where("title is not null").select(F.explode(_parts(F.col("title"))).alias("part")).distinct()
-    lines = recs.select(*REC, F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("s", F.trim(F.regexp_replace("raw", r"[\f\t\r]", " ")))
-    short = lines.where((F.char_length("s") >= 4) & (F.char_length("s") <= 70)).where(_open(F.col("s")))
+    lines = F.split("text", "\n")
+    clean = lambda x: F.trim(F.translate(x, "\f\t\r", "   "))
+    # an edge of a page has a blank line or a page number beside it
+    gap = lambda x: (F.char_length(x) <= 6) | F.contains(x, F.lit("\f")) | (F.trim(x) == "")
+    near = lambda i: (i < 2) | (i + 2 >= F.size(lines)) | F.exists(F.slice(lines, F.greatest(i - 1, F.lit(1)), 5), gap)
+    each = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), clean(x).alias("s")))
+    some = F.filter(each, lambda x: F.char_length(x["s"]).between(4, 70) & near(x["line_no"]) & x["s"].rlike(_PARTS))
+    short = recs.select(*REC, F.explode(some).alias("x")).select(*REC, "x.line_no", "x.s").where(_open(F.col("s")))
     parts = short.select(*REC, "line_no", F.posexplode(_parts(F.col("s"))).alias("at", "part"))
     found = parts.join(known.withColumn("hit", F.lit(1)), "part", "left")
     last = F.max(F.struct("at", "hit"))
@@ -182,7 +188,8 @@ def page_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     of_title = (F.char_length("s") >= 4) & F.startswith(F.col("title_skel"), skeleton(F.col("s")))
     head = F.col("top") & F.col("next").isNotNull() & room
     at_edge = (F.col("top") | F.col("bottom")) & (capitals | F.coalesce(of_title, F.lit(False))) | F.col("edge") & F.col("titled")
-    numbered = (F.char_length("s") <= 70) & F.col("s").rlike(_BESIDE_NUMBER)
+    digit = lambda end: F.contains(F.lit("0123456789OolI|SBZ"), end("s", F.lit(1)))  # noqa: E731 - cheap, before the pattern
+    numbered = (F.char_length("s") <= 70) & (digit(F.left) | digit(F.right)) & F.col("s").rlike(_BESIDE_NUMBER)
     running = F.col("open") & F.col("edge") & (F.col("repeated") | alike | head | at_edge)
     furniture = F.col("number") | F.col("open") & numbered | running | F.col("titled") & F.col("repeated")
     lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
