@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
@@ -454,12 +455,10 @@ def garble_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", tx.garble_score(F.col("text")).alias("score"))
 
 
-@query(f"""select doc_id, sha256(text) sha from documents where text is not null and
-4 * (length(text) - length(translate(text, {q.text(tx.GARBLE_MARKERS)}, ''))) + length(text) - length(replace(text, chr(65533), ''))
-+ 3 * ({_LATIN.replace("(s", "(text").replace("s,", "text,")}) < 2""")
+@query("select doc_id, sha256(text) sha from documents where text is not null")
 def decoded_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts as bytes and back through the decoder of files; texts that look garbled left out."""
-    rows = table(spark, d, "documents").where("text is not null").where(tx.garble_score(F.col("text")) < 2)
+    """Every text as UTF-8 bytes and back through the decoder of files: none of them needs a repair."""
+    rows = table(spark, d, "documents").where("text is not null")
     return rows.select("doc_id", F.sha2(decode_text(F.encode("text", "UTF-8")), 256).alias("sha"))
 
 
@@ -476,68 +475,161 @@ def _escaped(c: str) -> F.Column:
     return out
 
 
+_SQUEEZED = r"regexp_replace(regexp_replace({}, '[ \t\r\f\v]+', ' ', 'g'), '\n{{3,}}', concat(chr(10), chr(10)), 'g')"
+
+
 @query(rf"""with {q.CHUNKS} select chunk_id, {q.strip("coalesce(title, '')")} title,
-{q.strip(r"regexp_replace(regexp_replace(concat('## ', section, chr(10), chr(10), text), '[ \t\r\f\v]+', ' ', 'g'), '\n{3,}', concat(chr(10), chr(10)), 'g')")} text
-from chunks_ where section is not null""")
+{q.strip(_SQUEEZED.format("concat(case when trim(section, " + q.WS + ") <> '' then concat('## ', section, chr(10)) else '' end, chr(10), text)"))} text
+from chunks_""")
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     """Chunks written as pages with furniture and read back by the HTML normaliser."""
+    heading = F.when(tx.strip(F.coalesce("section", F.lit(""))) != "", F.concat(F.lit("<h2>"), _escaped("section"), F.lit("</h2>"))).otherwise("")
+    page = F.concat(
+        F.lit("<html><head><title>"), F.coalesce(_escaped("title"), F.lit("")), F.lit("</title><style>p {}</style></head><body><nav>x</nav>"),
+        heading, F.lit("<p>"), _escaped("text"), F.lit("</p><script>1</script><footer>y</footer></body></html>"),
+    )
+    return chunks(spark, d).select("chunk_id", _page(page).alias("p")).select("chunk_id", "p.title", "p.text")
+
+
+_MANIFEST = """m_ as (select local_path, max(source_path) source_path, max(img_index) idx, max(coalesce(alt, '')) alt, max(coalesce(src, '')) src,
+max(coalesce(title, '')) title from media group by local_path)"""
+_PLAIN = r"trim(regexp_replace(replace({}, '|', '\|'), '[ \t\r\f\v]+', ' ', 'g'), " + q.WS + ")"
+
+
+@query(rf"""with {_MANIFEST}, rows_ as (select source_path, row_number() over (partition by source_path order by idx, local_path) n, idx, {_PLAIN.format("alt")} alt,
+    {_PLAIN.format("src")} src from m_), tables_ as (select source_path, count(*) rows, string_agg('| ' || {_PLAIN.format("source_path")} || ' | ' || idx || ' | ' || alt || ' | ' || alt || ' | ' || src || ' |',
+    chr(10) order by n) body from rows_ group by source_path)
+select source_path, rows, {_SQUEEZED.format("concat('Table: ', source_path, chr(10), chr(10), '| source | no | alt | alt | link |', chr(10), '| --- | --- | --- | --- | --- |', chr(10), body)")} as text from tables_""")
+def html_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The images of each page as a table whose first cell spans all rows and whose third spans two columns."""
+    cell = lambda c, how="": F.concat(F.lit(f"<td{how}>"), _escaped(c), F.lit("</td>"))
+    row = F.concat(cell("no"), cell("alt", " colspan='2'"), cell("src"), F.lit("</tr>"))
+    rows = F.array_sort(F.collect_list(F.struct("idx", "local_path", row.alias("row"))))
+    pages = _manifest(spark, d).withColumn("no", F.col("idx").cast("string")).groupBy("source_path").agg(rows.alias("each"))
+    path = _escaped("source_path")
+    first = F.concat(F.lit("<td rowspan='"), F.size("each").cast("string"), F.lit("'>"), path, F.lit("</td>"))
+    body = F.array_join(F.transform("each", lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, first).otherwise(""), x["row"])), "")
+    head = "<tr><th>source</th><th>no</th><th colspan='2'>alt</th><th>link</th></tr>"
+    page = F.concat(F.lit("<table><caption>"), path, F.lit(f"</caption>{head}"), body, F.lit("</table>"))
+    return pages.select("source_path", F.size("each").cast("bigint").alias("rows"), _page(page).alias("p")).select("source_path", "rows", "p.text")
+
+
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The images of the manifest, each once: (local_path, source_path, idx, alt, src, title)."""
+    last = [F.max(F.coalesce(c, F.lit(""))).alias(c) for c in ("alt", "src", "title")]
+    return table(spark, d, "media").groupBy("local_path").agg(F.max("source_path").alias("source_path"), F.max("img_index").alias("idx"), *last)
+
+
+@query(rf"""with {_MANIFEST}, t_ as (select local_path, {q.strip("src")} src, {q.strip("alt")} alt, {q.strip("title")} title from m_), n_ as (select *,
+    case when alt <> '' then alt when title <> '' then title else 'image-1' end label from t_)
+select local_path, {q.strip(_SQUEEZED.format("concat('see it', case when src <> '' then concat(' (', src, ')') else '' end, chr(10), chr(10), '```text', chr(10), alt, chr(10), '```', chr(10), chr(10), '- `', title, '`', chr(10), case when src = '' then '' else concat(chr(10), '[Image 1: ', label, ']', case when src <> '[inline-image]' then concat(' src=', src) else '' end, chr(10), '![', label, '](', src, ')', chr(10)) end)"))} text
+from n_""")
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every image as a page with a link, preformatted text, code and the image itself."""
+    own = _manifest(spark, d).select("local_path", *(tx.strip(F.col(c)).alias(c) for c in ("src", "alt", "title")))
+    quoted = lambda c: F.replace(_escaped(c), F.lit('"'), F.lit("&quot;"))
     page = F.concat(
-        F.lit("<html><head><title>"), F.coalesce(_escaped("title"), F.lit("")), F.lit("</title><style>p {}</style></head><body><nav>x</nav><h2>"),
-        _escaped("section"), F.lit("</h2><p>"), _escaped("text"), F.lit("</p><script>1</script><footer>y</footer></body></html>"),
+        F.lit('<p>see <a href="'), quoted("src"), F.lit('">it</a></p><pre>'), _escaped("alt"), F.lit("</pre><p>- <code>"), _escaped("title"),
+        F.lit('</code></p><img data-src="'), quoted("src"), F.lit('" alt="'), quoted("alt"), F.lit('" title="'), quoted("title"), F.lit('">'),
     )
-    rows = chunks(spark, d).where("section is not null")
-    return rows.select("chunk_id", _page(page).alias("p")).select("chunk_id", "p.title", "p.text")
+    return own.select("local_path", _page(page).alias("p")).select("local_path", "p.text")
 
 
-@F.pandas_udf(T.StringType())
-def _through_docx(text: pd.Series) -> pd.Series:
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
+def _through_docx(title: pd.Series, section: pd.Series, text: pd.Series) -> pd.DataFrame:
+    run = lambda x: f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>"
     out = []
-    for t in text:
+    for name, part, t in zip(title, section, text, strict=True):
         buf = io.BytesIO()
-        body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in t.split("\n"))
+        cells = "".join(f"<w:tc>{run(x)}</w:tc>" for x in ("section", part or ""))
+        body = "".join(map(run, t.split("\n"))) + f"<w:tbl><w:tr>{cells}</w:tr><w:tr><w:tc>{run('end')}</w:tc></w:tr></w:tbl>"
         with zipfile.ZipFile(buf, "w") as z:
             z.writestr("word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{body}</w:body></w:document>')
-        out.append(office.docx_text(buf.getvalue())[0])
-    return pd.Series(out)
+            z.writestr("docProps/core.xml", f'<c xmlns:d="urn:d"><d:title>{escape(name or "")}</d:title></c>')
+        out.append(office.docx_text(buf.getvalue()))
+    return pd.DataFrame({"title": [t for _, t in out], "text": [t for t, _ in out]})
 
 
-@query(f"""with {q.CHUNKS} select chunk_id, {q.strip(f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {q.strip('x')}), lambda x: x <> ''), concat(chr(10), chr(10)))")} text
-from chunks_""")
+@query(rf"""with {q.CHUNKS}, p_ as (select chunk_id, {q.strip("coalesce(title, '')")} title, {q.strip("coalesce(section, '')")} section,
+list_filter(list_transform(string_split(text, chr(10)), lambda x: {q.strip('x')}), lambda x: x <> '') lines from chunks_)
+select chunk_id, title, array_to_string(list_append(lines, case when section <> '' then concat('section | ', section, chr(10), 'end |') else concat('section', chr(10), 'end') end),
+concat(chr(10), chr(10))) as text from (select chunk_id, title, section, lines from p_)""")
 def docx_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks written as DOCX files, a paragraph a line, and read back."""
-    return chunks(spark, d).select("chunk_id", _through_docx("text").alias("text"))
+    """Chunks written as DOCX files, a paragraph a line, with a table and a title, and read back."""
+    return chunks(spark, d).select("chunk_id", _through_docx("title", "section", "text").alias("r")).select("chunk_id", "r.title", "r.text")
 
 
 @F.pandas_udf(T.StringType())
 def _through_pdf(text: pd.Series) -> pd.Series:
-    wrap = lambda t: b"%PDF-1.4\nstream\n(" + t.replace("(", "\\(").replace(")", "\\)").encode() + b") Tj\nendstream\n%%EOF"
+    def literal(t: str) -> bytes:
+        return b"(" + t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode() + b")"
+
+    def wrap(t: str) -> bytes:
+        first, gap, rest = t.partition(" ")
+        shown = b"[" + literal(first) + b" -250 " + literal(rest) + b"] TJ" if first and rest else literal(t) + b" Tj"
+        packed = zlib.compress(shown)
+        plain = not rest or packed.endswith(b"\r") or b"endstream" in packed
+        return b"%PDF-1.4\nstream\n" + (shown if plain else packed) + b"\nendstream\n%%EOF"
+
     return text.map(lambda t: office.pdf_text(wrap(t)))
 
 
-@query(rf"with {q.CHUNKS} select chunk_id, {q.strip('text')} text from chunks_ where regexp_full_match(text, '[\x00-\x5b\x5d-\x7f]*')")
+#: the bytes of the UTF-8 form, each read as a character: content streams know no other encoding here
+_BYTES = "array_to_string(list_transform(range(0, octet_length(encode(text))), lambda i: chr(cast(('0x' || substring(hex(encode(text)), 2 * i + 1, 2)) as integer))), '')"
+_SHOWN = rf"replace(replace(replace({_BYTES}, '\n', chr(10)), '\r', chr(10)), '\t', chr(9))"
+
+
+@query(rf"with {q.CHUNKS} select chunk_id, {q.strip(_SHOWN)} text from chunks_")
 def pdf_texts(spark: SparkSession, d: str) -> DataFrame:
-    """ASCII chunks written as content streams and read back."""
-    rows = chunks(spark, d).where(F.col("text").rlike(r"^[\x00-\x5b\x5d-\x7f]*\z"))
-    return rows.select("chunk_id", _through_pdf("text").alias("text"))
+    """All chunks written as content streams, compressed and with arrays of strings or plain, and read back."""
+    return chunks(spark, d).select("chunk_id", _through_pdf("text").alias("text"))
+
+
+def _header(kind: int, w: int, h: int) -> tuple[bytes, str]:
+    """The beginning of an image file of one of six forms."""
+    big, little = w.to_bytes(2, "big"), lambda x, n: x.to_bytes(n, "little")
+    riff = lambda form, rest: b"RIFF\0\0\0\0WEBP" + form + rest + b"\0" * 8
+    return [
+        (b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big"), "image/png"),
+        (b"GIF89a" + little(w, 2) + little(h, 2), "image/gif"),
+        (b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc2\x00\x11\x08" + h.to_bytes(2, "big") + big + b"\0" * 8, "image/jpeg"),
+        (riff(b"VP8X", b"\0" * 8 + little(w - 1, 3) + little(h - 1, 3)), "image/webp"),
+        (riff(b"VP8 ", b"\0" * 10 + little(w, 2) + little(h, 2)), "image/webp"),
+        (riff(b"VP8L", b"\0" * 5 + little(w - 1 | h - 1 << 14, 4)), "image/webp"),
+    ][kind]
 
 
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
-def _png_size(width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    head = lambda w, h: b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + int(w).to_bytes(4, "big") + int(h).to_bytes(4, "big")
-    sizes = [images.dimensions(head(w, h), "image/png") for w, h in zip(width, height, strict=True)]
-    return pd.DataFrame(sizes, columns=["width", "height"], dtype="int32")
+def _read_size(kind: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+    sizes = []
+    for k, w, h in zip(kind, width, height, strict=True):
+        known = not (pd.isna(w) or pd.isna(h))
+        data, mime = _header(int(k), int(w), int(h)) if known else (b"\x89PNG\r\n\x1a\n", "image/png")
+        sizes.append(images.dimensions(data, mime))
+    return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
 
 
-@query("select distinct local_path, width, height from media where width is not null and height is not null")
+@query("""select distinct local_path, case when height is not null then width end width, case when width is not null then height end height from media""")
 def image_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Image sizes written as PNG headers and read back."""
-    m = table(spark, d, "media").where("width is not null and height is not null").select("local_path", "width", "height").distinct()
-    return m.select("local_path", _png_size("width", "height").alias("s")).select("local_path", "s.width", "s.height")
+    """Image sizes written as headers of six kinds and read back; a size that isn't whole is none."""
+    m = table(spark, d, "media").select("local_path", "width", "height").distinct()
+    kind = F.pmod(F.xxhash64("local_path"), F.lit(6)).cast("int")
+    return m.select("local_path", _read_size(kind, "width", "height").alias("s")).select("local_path", "s.width", "s.height")
 
 
-@query()
+def _one_line(x: str, limit: int) -> str:
+    line = q.strip(rf"regexp_replace({x}, concat('[', {q.WS}, ']+'), ' ', 'g')")
+    return f"case when length({line}) <= {limit} then {line} else concat(substring({line}, 1, {limit - 3}), '...') end"
+
+
+@query(f"""with n_ as (select distinct local_path, img_index, src, alt, title, mime_type, width, height, ocr_text, description from media)
+select local_path, concat('[Image ', img_index, ': ', case when coalesce(alt, '') <> '' then alt when coalesce(title, '') <> '' then title else concat('image-', img_index) end, ']',
+case when local_path <> '' then concat(' path=', local_path) when src <> '[inline-image]' then concat(' src=', src) else '' end,
+case when mime_type <> '' then concat(' mime=', mime_type) else '' end, case when width > 0 and height > 0 then concat(' size=', width, 'x', height) else '' end,
+case when description <> '' then concat(' description=', {_one_line("description", 160)}) else '' end,
+case when ocr_text <> '' then concat(' ocr=', {_one_line("ocr_text", 200)}) else '' end) marker from n_""")
 def image_markers(spark: SparkSession, d: str) -> DataFrame:
-    """The text line of every image in the manifest; the line format is checked in tests."""
+    """The text line of every image in the manifest; long texts are cut."""
     fields = list(images.empty(0, "", "", ""))
     rows = table(spark, d, "media").withColumnRenamed("img_index", "index").select(*fields).dropDuplicates(["local_path"])
 
