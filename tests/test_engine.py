@@ -52,6 +52,31 @@ def test_incremental(spark, root):
     assert e.ingest(full=True)["indexed"] == 2
 
 
+def test_one_changed_file_rewrites_one_bucket(spark, root):
+    for i in range(12):
+        write(root, f"n{i}.md", f"# Note {i}\n\nbody number {i} of the notes")
+    e = Engine(spark, str(root))
+    e.ingest()
+    before = e.store.pointer()["tables"]
+    assert len(before["documents"]) > 4
+    write(root, "n3.md", "# Note 3\n\nanother body")
+    out = e.ingest()
+    after = e.store.pointer()["tables"]
+    assert (out["indexed"], out["skipped"], out["chunks"]) == (1, 11, 1)
+    for t in ("documents", "chunks", "postings", "lengths", "terms"):
+        assert len([b for b in after[t] if after[t][b] != before[t].get(b)]) == 1, t
+    assert e.store.read("documents").count() == 12 and e.search("another").count() == 1
+    assert e.search("body", top_k=20).count() == 12
+    versions = lambda: {p.name for p in (root / "data/index").iterdir() if p.is_dir()}
+    assert len(versions()) == 2
+    for i in (1, 2):
+        write(root, "n3.md", f"# Note 3\n\nbody again {i}")
+        e.ingest()
+    assert len(versions()) <= 4  # what no pointer names is gone
+    nothing = e.ingest()
+    assert nothing["indexed"] == 0 and nothing["skipped"] == 12 and e.search("body", top_k=20).count() == 12
+
+
 def test_images(spark, root):
     page = write(root, "sample.html", f"<title>t</title><p>text</p><img src='{PNG}' alt='图'>")
     e = Engine(spark, str(root))
@@ -64,7 +89,7 @@ def test_images(spark, root):
     assert "ocr=read text" in e.store.read("chunks").first().text
     page.unlink()
     out = e.ingest()
-    assert out["deleted"] == 1 and out["media_deleted_files"] >= 1
+    assert out["deleted"] == 1 and out["media_deleted_files"] >= 1 and out["media_deleted_entries"] == 1
     assert not list((root / "data/images").rglob("*.png")) and e.media().count() == 0
 
 

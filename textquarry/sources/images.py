@@ -6,6 +6,9 @@ import base64
 import binascii
 import hashlib
 import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 
 from textquarry.functions.text import one_line
 
@@ -97,3 +100,39 @@ def empty(index: int, src: str, alt: str, title: str) -> dict:
         "index": index, "src": src, "alt": alt, "title": title, "local_path": "", "mime_type": "", "extracted": False,
         "sha256": "", "size_bytes": 0, "width": None, "height": None, "ocr_text": "", "description": "",
     }
+
+
+def _file_system(root: str):
+    """(file system, folder) of ``root``, a local path or any address that Arrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def write(files: DataFrame, root: str) -> None:
+    """Write (local_path, content) below ``root``, from the tasks; a file that is there stays."""
+
+    def put(rows: Iterator[Row]) -> None:
+        system, folder = _file_system(root)
+        for r in rows:
+            path = f"{folder}/{r['local_path']}"
+            if not system.get_file_info(path).size:
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(bytes(r["content"]))
+
+    files.select("local_path", "content").foreachPartition(put)
+
+
+def delete(files: DataFrame, root: str) -> None:
+    """Delete (local_path) below ``root``, from the tasks; a file that is gone already is no error."""
+
+    def drop(rows: Iterator[Row]) -> None:
+        system, folder = _file_system(root)
+        for r in rows:
+            try:
+                system.delete_file(f"{folder}/{r['local_path']}")
+            except FileNotFoundError:
+                pass
+
+    files.select("local_path").foreachPartition(drop)
