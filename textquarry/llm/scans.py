@@ -25,6 +25,7 @@ twice is taken once (by key); results are distinct. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -135,11 +136,15 @@ def titled_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     known = titles.where("title is not null").select(F.explode(_parts(F.col("title"))).alias("part")).distinct()
     lines = F.split("text", "\n")
     clean = lambda x: F.trim(F.translate(x, "\f\t\r", "   "))
-    # an edge of a page has a blank line or a page number beside it
-    gap = lambda x: (F.char_length(x) <= 6) | F.contains(x, F.lit("\f")) | (F.trim(x) == "")
-    near = lambda i: (i < 2) | (i + 2 >= F.size(lines)) | F.exists(F.slice(lines, F.greatest(i - 1, F.lit(1)), 5), gap)
-    each = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), clean(x).alias("s")))
-    some = F.filter(each, lambda x: F.char_length(x["s"]).between(4, 70) & near(x["line_no"]) & x["s"].rlike(_PARTS))
+    # an edge of a page has a blank line or a page number within two lines
+    gap = F.transform(lines, lambda x: (F.char_length(x) <= 6) | F.contains(x, F.lit("\f")) | (F.trim(x) == ""))
+    ends = F.array(F.lit(True), F.lit(True))
+    padded = F.concat(ends, gap, ends)
+    shifted = [F.slice(padded, k, F.size(lines)) for k in range(1, 6)]
+    near = functools.reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p | q), shifted)
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), clean(x).alias("s")))
+    each = F.zip_with(numbered, near, lambda x, y: F.struct(x["line_no"].alias("line_no"), x["s"].alias("s"), y.alias("near")))
+    some = F.filter(each, lambda x: x["near"] & F.char_length(x["s"]).between(4, 70) & x["s"].rlike(_PARTS))
     short = recs.select(*REC, F.explode(some).alias("x")).select(*REC, "x.line_no", "x.s").where(_open(F.col("s")))
     parts = short.select(*REC, "line_no", F.posexplode(_parts(F.col("s"))).alias("at", "part"))
     found = parts.join(known.withColumn("hit", F.lit(1)), "part", "left")
