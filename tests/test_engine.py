@@ -6,6 +6,7 @@ import pytest
 from test_sources import PNG, docx
 from textquarry import cli
 from textquarry.engine import Engine
+from textquarry.operators import search
 from textquarry.streaming import ingest as streaming
 
 
@@ -105,9 +106,13 @@ def test_command_line(spark, root, capsys):
 
 def test_streaming(spark, root):
     write(root, "a.md", "# One\n\ntext one")
+    write(root, "broken.docx", b"not a zip")
     out, state = str(root / "out"), str(root / "state")
     streaming.start(spark, str(root / "corpus"), str(root), out, state, availableNow=True).awaitTermination(120)
     write(root, "b.md", "# Two\n\ntext two")
     streaming.start(spark, str(root / "corpus"), str(root), out, state, availableNow=True).awaitTermination(120)
     got = spark.read.parquet(f"{out}/chunks").collect()
     assert sorted(r.section for r in got) == ["One", "Two"]
+    read = {t: spark.read.parquet(f"{out}/{t}") for t in ("postings", "lengths", "terms", "failed")}
+    hits = search.bm25_postings(read["postings"], read["lengths"], spark.read.parquet(f"{out}/chunks"), "two", top_k=5)
+    assert [r.section for r in hits.collect()] == ["Two"] and read["failed"].count() == 1 and read["terms"].count() > 2

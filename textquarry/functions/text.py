@@ -44,10 +44,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def folded(c: Column) -> Column:
+    """Lower case without Latin diacritics."""
+    return F.translate(F.translate(F.lower(c), ACCENTED, PLAIN), MARKS, "")
+
+
 def index_tokens(c: Column) -> Column:
-    """Tokens of the full-text index: lower case, Latin diacritics removed, signs kept in words."""
-    folded = F.translate(F.translate(F.lower(c), ACCENTED, PLAIN), MARKS, "")
-    return F.coalesce(F.regexp_extract_all(folded, F.lit(INDEX_TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    """Tokens of the full-text index: folded, signs kept in words."""
+    return F.coalesce(F.regexp_extract_all(folded(c), F.lit(INDEX_TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def fold_token(token: str) -> str:

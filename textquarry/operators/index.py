@@ -30,11 +30,6 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(tokens_of_chunk()).alias("dl"))
 
 
-def statistics(dl: DataFrame) -> DataFrame:
-    """(n, avgdl): one row."""
-    return dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def terms(chunks: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """(term, chunk_id): the terms of title, section, text and path of each chunk; distinct."""
     texts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "section", "text", "source_path")]

@@ -6,6 +6,7 @@ is one that no earlier stage found. Stages two and three only run for queries wi
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -13,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import INDEX_TOKEN, ascii_lower, fold_token, has_han, query_tokens, term_groups
+from textquarry.functions.text import ascii_lower, fold_token, folded, has_han, query_tokens, term_groups
 from textquarry.model import TOP_K
-from textquarry.operators.index import lengths, postings, terms, tokens_of_chunk
+from textquarry.operators.index import FIELDS, tokens_of_chunk
 
 K1, B = 1.2, 0.75
 RESULT = ("chunk_id", "doc_id", "source_path", "source_type", "title", "section", "chunk_index", "text")
@@ -50,19 +51,25 @@ def _times(token: str) -> Column:
     return F.size(F.filter("tokens", lambda x: x == token))
 
 
+def _counted(chunks: DataFrame, tokens: list[str]) -> DataFrame:
+    """(*RESULT, dl, tf0, ...): the length of each chunk and how often each token occurs."""
+    return chunks.withColumn("tokens", tokens_of_chunk()).select(
+        *RESULT, F.size("tokens").alias("dl"), *(_times(t).alias(f"tf{i}") for i, t in enumerate(tokens))
+    )
+
+
 def bm25(chunks: DataFrame, query: str, mode: str = "any", source_type: str | None = None, top_k: int | None = None) -> DataFrame:
     """Full-text search over a chunk table: (*RESULT, score), best first.
 
-    One pass over the chunks counts the query's tokens; the corpus numbers are one aggregation.
+    Without a stored index the chunks are read twice: the corpus numbers need the tokens of all of
+    them, the results only those of chunks that hold a token of the query as a substring.
     """
     tokens = [fold_token(t) for t in query_tokens(query)]
-    counted = chunks.withColumn("tokens", tokens_of_chunk()).select(
-        *RESULT,
-        F.size("tokens").alias("dl"),
-        *(_times(t).alias(f"tf{i}") for i, t in enumerate(tokens)),
-    )
+    counted = _counted(chunks, tokens)
     if not tokens:
         return counted.limit(0).select(*RESULT, F.lit(0.0).alias("score"))
+    whole = folded(F.concat_ws("\n", *FIELDS))
+    held = chunks.where(functools.reduce(lambda a, b: a | b, (F.contains(whole, F.lit(t)) for t in tokens)))
     numbers = counted.agg(
         F.struct(
             F.count("*").alias("n"),
@@ -74,7 +81,7 @@ def bm25(chunks: DataFrame, query: str, mode: str = "any", source_type: str | No
     match = hit[0]
     for h in hit[1:]:
         match = match | h if mode == "any" else match & h
-    found = _of_type(counted, source_type).where(match).withColumn("c", numbers.scalar())
+    found = _of_type(_counted(held, tokens), source_type).where(match).withColumn("c", numbers.scalar())
     ranked = _scored(found, tokens).select(*RESULT, "score").orderBy("score", "chunk_id")
     return _cut(ranked, top_k)
 
@@ -255,8 +262,3 @@ def neighbours(chunks: DataFrame, hits: DataFrame, radius: int) -> DataFrame:
     asked = hits.select(F.col("chunk_id").alias("hit_id"), "doc_id", "chunk_index", F.explode(offsets).alias("distance"))
     asked = asked.withColumn("chunk_index", F.col("chunk_index") + F.col("distance"))
     return asked.join(chunks.select("doc_id", "chunk_index", "chunk_id"), ["doc_id", "chunk_index"]).select("hit_id", "chunk_id", "distance")
-
-
-def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, lengths and terms of a chunk table."""
-    return postings(chunks), lengths(chunks), terms(chunks)
