@@ -195,7 +195,7 @@ def page_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     at_edge = (F.col("top") | F.col("bottom")) & (capitals | F.coalesce(of_title, F.lit(False))) | F.col("edge") & F.col("titled")
     digit = lambda end: F.contains(F.lit("0123456789OolI|SBZ"), end("s", F.lit(1)))  # noqa: E731 - cheap, before the pattern
     numbered = (F.char_length("s") <= 70) & (digit(F.left) | digit(F.right)) & F.col("s").rlike(_BESIDE_NUMBER)
-    running = F.col("open") & F.col("edge") & (F.col("repeated") | alike | head | at_edge)
+    running = F.col("open") & F.col("edge") & (F.col("repeated") | head | at_edge | alike)  # the dearest comes last
     furniture = F.col("number") | F.col("open") & numbered | running | F.col("titled") & F.col("repeated")
     lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
     # the split word at the end of a body line: what stands before the hyphen and opens the next body line
@@ -226,12 +226,27 @@ def judged_words(s: str) -> dict[str, tuple[str, str]]:
         if "-" in inner or "‐" in inner:
             found = dict.fromkeys((w.replace("‐", "-") for w in _COMPOUND.findall(inner)), ("", ""))
     words = _WORDS.findall(_CAMEL.sub(" ", inner))
+    last = len(words) - 1
     for i, w in enumerate(words):
-        if len(w) >= 4 and w.isalpha() or not w.isdigit() and _LETTER.search(w) and not _NAME.match(w) and (len(w) >= 4 or not w.isalpha()):
-            found.setdefault(w, (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+        if _judged[w] and w not in found:
+            found[w] = (words[i - 1] if i else "", words[i + 1] if i < last else "")
     return found
 
 
+class _Judged(dict):
+    """Whether a word can be judged; words come again and again."""
+
+    def __missing__(self, w: str) -> bool:
+        long = len(w) >= 4
+        can = long if w.isalpha() else not w.isdigit() and bool(_LETTER.search(w)) and not _NAME.match(w)
+        if len(self) < 200_000:
+            self[w] = can
+        return can
+
+
+_judged = _Judged()
+
+
 class _Codes(dict):
     """A number for each word beside another, the same for words that look alike; 0 for none."""
 
@@ -335,7 +350,7 @@ def noise_cases(parsed: DataFrame, media: DataFrame) -> DataFrame:
     words = words_of(body)
     counted = word_counts(words)
     by_word = misread_words(words, counted).select("id")
-    misread = by_word.unionByName(body.where(F.col("s").rlike(_IMPOSSIBLE)).select("id")).distinct()
+    misread = by_word.unionByName(body.where(F.col("s").rlike("[0-9!†@]|Ox") & F.col("s").rlike(_IMPOSSIBLE)).select("id")).distinct()
     kinds = misread.select("id", F.lit("misread").alias("kind")).unionByName(
         broken_words(body, counted).select("id", F.lit("broken").alias("kind"))
     )
