@@ -50,3 +50,20 @@ def test_long_record(spark):
     parsed, media = tables(spark)
     long = spark.createDataFrame([("l", "pdf", None, "\n".join([WORDS] * 20_000), None, "", "")], P)
     assert scans.noise_cases(long, media.limit(0)).count() == 0
+
+
+def test_forms_need_the_support_of_their_context(spark):
+    lines = ["here this modern loader resolves the library and waits for more"] * 40
+    lines[5], lines[9] = "here a modem dials the library and waits for more of it", "here this modem loader resolves the library and waits"
+    parsed = spark.createDataFrame([("a", "pdf", None, "\n".join(lines), (1,), "", "")], P)
+    got = {(r.line_no, r.kind) for r in scans.noise_cases(parsed, tables(spark)[1].limit(0)).collect()}
+    assert got == {(9, "misread")}
+
+
+def test_headers_made_of_parts_of_titles(spark):
+    text = "Mapping – header builder / loader 3.1\n" + "\n".join([WORDS + "."] * 6)
+    titles = ["Mapping – call stub / string pool", "Tracing – header builder / root probe", "Unpacking: loader (libzen.so)"]
+    rows = [("a", "pdf", "Other", text, (1,), "", "")] + [(f"t{i}", "html", t, "", (1,), "", "") for i, t in enumerate(titles)]
+    empty = tables(spark)[1].limit(0)
+    cases = lambda n: {(r.line_no, r.kind) for r in scans.noise_cases(spark.createDataFrame(rows[:n], P), empty).collect()}
+    assert cases(4) == {(0, "furniture")} and cases(1) <= {(0, "furniture")}

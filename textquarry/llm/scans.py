@@ -63,6 +63,8 @@ _NUMBER_LINE = "|".join(
 )
 #: a page number set apart from a short title: by a wide space, or by a sign and at most one word
 _BESIDE_NUMBER = rf"^{_NUM}\s{{3,}}\S|\S\s{{3,}}{_NUM}$|\S [·•|/–—] (?:\S{{1,4}} )?{_NUM}$"
+#: how a title of several parts begins, be it badly recognised, and goes on
+_TITLE_LIKE = r"^(?:[\p{Lu}\p{N}\p{IsHan}|!†@]|lib).*(?:\s[–—/·|-]\s|[:：,，的与])"
 #: what parts of titles are set apart by, and names in brackets, which are no part
 _PARTS, _BRACKETS = r"\s[–—/·|-]\s|[:：,，的与]", r"\([^()]*\)?"
 _ENDS = ".!?:;,。！？：；，、)]）”\"'»…"
@@ -76,7 +78,6 @@ _IMPOSSIBLE = (
 _HAN_CHAR = re.compile("[一-鿿]")
 _HAN_WINDOWS = re.compile(f"[一-鿿]?[{HAN}{HAN_AS}][一-鿿]?")
 _ASCII_ENDS = re.compile(r"^[!-~]+|[!-~]+$")
-_LAST_PART = re.compile(rf"\S+[{HYPHENS}]$")
 _COMPOUND = re.compile(r"[^\W_]+(?:[-‐'’][^\W_]+)+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿа-яё])(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])")
 _WORDS = re.compile(r"(?:[0-9A-Za-zÀ-ɏЀ-ӿ|†@]|!(?=[a-z]))+")
@@ -144,7 +145,7 @@ def titled_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     near = functools.reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p | q), shifted)
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), clean(x).alias("s")))
     each = F.zip_with(numbered, near, lambda x, y: F.struct(x["line_no"].alias("line_no"), x["s"].alias("s"), y.alias("near")))
-    some = F.filter(each, lambda x: x["near"] & F.char_length(x["s"]).between(4, 70) & x["s"].rlike(_PARTS))
+    some = F.filter(each, lambda x: x["near"] & F.char_length(x["s"]).between(4, 70) & x["s"].rlike(_TITLE_LIKE))
     short = recs.select(*REC, F.explode(some).alias("x")).select(*REC, "x.line_no", "x.s").where(_open(F.col("s")))
     parts = short.select(*REC, "line_no", F.posexplode(_parts(F.col("s"))).alias("at", "part"))
     found = parts.join(known.withColumn("hit", F.lit(1)), "part", "left")
@@ -222,10 +223,10 @@ def judged_words(s: str) -> dict[str, tuple[str, str]]:
         found = dict.fromkeys(_HAN_WINDOWS.findall(s), ("", ""))
         inner = _ASCII_ENDS.sub(" ", s)
     else:
-        inner = _LAST_PART.sub(" ", s)
+        inner = s if s[-1:] not in HYPHENS else s.rpartition(" ")[0]
         if "-" in inner or "‐" in inner:
             found = dict.fromkeys((w.replace("‐", "-") for w in _COMPOUND.findall(inner)), ("", ""))
-    words = _WORDS.findall(_CAMEL.sub(" ", inner))
+    words = [w for run in _WORDS.findall(inner) for w in _split[run]]
     last = len(words) - 1
     for i, w in enumerate(words):
         if _judged[w] and w not in found:
@@ -244,7 +245,17 @@ class _Judged(dict):
         return can
 
 
-_judged = _Judged()
+class _Split(dict):
+    """The words of a run of letters, cut where a capital follows a small letter."""
+
+    def __missing__(self, run: str) -> list[str]:
+        words = _CAMEL.sub(" ", run).split(" ")
+        if len(self) < 200_000:
+            self[run] = words
+        return words
+
+
+_judged, _split = _Judged(), _Split()
 
 
 class _Codes(dict):
