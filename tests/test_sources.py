@@ -108,3 +108,12 @@ def test_decoding():
     assert decoded(b"\xff\xfe\xfd") == "ÿþý"
     garbled = "人工智能分析报告".encode().decode("gb18030", "replace")
     assert repaired("plain") == "plain" and repaired(garbled).startswith("人")
+
+
+def test_grid():
+    cell = lambda t, c=1, r=1: f"<td colspan='{c}' rowspan='{r}'>{t}</td>"
+    t = f"<table><tr>{cell('a', 1, 3)}{cell('b', 2)}</tr><tr>{cell('c')}{cell('d')}</tr><tr></tr><tr>{cell('e')}</tr></table>"
+    assert page(t).text == "| a | b | b |\n| --- | --- | --- |\n| a | c | d |\n| a |  |  |\n| e |  |  |".replace("|  |  |", "| | |")
+    nested = "<table><tr><td>x<table><tr><td>y</td></tr></table></td></tr></table>"
+    assert page(nested).tables == 1 and "y" in page(nested).text
+    assert page("<table><tr><td> </td></tr></table>").tables == 0

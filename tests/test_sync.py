@@ -31,3 +31,12 @@ def test_selectors(spark):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id string, source_type string")
     assert browse.by_type_line(docs).first().by_type == "none"
+
+
+def test_counters(spark):
+    changes = spark.createDataFrame([("a", "new"), ("b", "changed"), ("c", "unchanged"), ("d", "deleted"), ("e", "failed"), ("f", "new")], "source_path string, status string")
+    rows = lambda n: spark.range(n)
+    got = sync.counters(changes, rows(7), rows(2), rows(3)).first().asDict()
+    assert got == {"seen": 5, "indexed": 3, "skipped": 1, "chunks": 7, "deleted": 1, "media_deleted_files": 2, "media_deleted_entries": 3, "failed": 1}
+    none = sync.counters(changes.limit(0), rows(0), rows(0), rows(0)).first().asDict()
+    assert set(none.values()) == {0} and tuple(none) == sync.COUNTERS
