@@ -53,8 +53,8 @@ def test_long_record(spark):
 
 
 def test_forms_need_the_support_of_their_context(spark):
-    lines = ["here this modern loader resolves the library and waits for more"] * 40
-    lines[5], lines[9] = "here a modem dials the library and waits for more of it", "here this modem loader resolves the library and waits"
+    lines = ["here this modern loader resolves the library and waits for more."] * 40
+    lines[5], lines[9] = "here a modem dials the library and waits for more of it.", "here this modem loader resolves the library and waits."
     parsed = spark.createDataFrame([("a", "pdf", None, "\n".join(lines), (1,), "", "")], P)
     got = {(r.line_no, r.kind) for r in scans.noise_cases(parsed, tables(spark)[1].limit(0)).collect()}
     assert got == {(9, "misread")}
