@@ -4,7 +4,7 @@ import pytest
 from compare import both
 from conftest import SMALL
 
-from textquarry.plans.catalogue import QUERIES, SQL
+from textquarry.plans.catalogue import QUERIES, SQL, chunks
 
 INDEX_TOKEN_PY = r"[\w.$/@:#-]+"
 
@@ -21,6 +21,9 @@ def test_window_snippets(spark):
     rows = QUERIES["window_snippets"](spark, SMALL).collect()
     assert rows and set(QUERIES) - set(SQL) == {"window_snippets"}
     words = {"session", "key", "loader"}
+    texts = {r.chunk_id: r.text for r in chunks(spark, SMALL).collect()}
+    rows = [r for r in rows if words & set(map(str.lower, re.findall(INDEX_TOKEN_PY, texts[r.chunk_id])))]  # not by title alone
+    assert rows
     for r in rows:
         marked = [w.lower() for w in re.findall(r"\[([^\[\]]+)\]", r.snippet)]
         assert words & set(marked), r.snippet
