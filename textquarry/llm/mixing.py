@@ -215,10 +215,12 @@ def mix(
     cap_of = F.create_map(*(x for r in listed for x in (F.lit(r["source"]), F.lit(int(r["max_repeats"])))))
     index = F.create_map(*(x for i, s in enumerate(domains) for x in (F.lit(s), F.lit(i))))
     said = model.evidence(spread(named)).dropDuplicates(["key"])
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = store(
         token_counts(named, "key", "text", keep=("source",))
         .where("tokens > 0")
         .join(said, "key")
+        .repartition(tasks)  # few bytes, but dear: left to the size of the data, too few tasks would do it
         .select(
             "key",
             "source",
