@@ -2,11 +2,19 @@ import random
 
 from textquarry.llm import spam
 
-SENTENCE = "The loader {} resolves the symbol table before the watchdog thread {} returns to its caller. "
+SENTENCES = (
+    "The loader {} resolves the symbol table before the watchdog thread {} returns to its caller.",
+    "After {} retries a hidden parser in build {} still refuses every request without explanation.",
+    "Nothing explains why block {} was moved, although our notes of stage {} mention such an error.",
+    "Setting breakpoint {} shows how an import list of kind {} is rebuilt while tracing stays off.",
+    "Whoever wrote probe {} expected another device, so half of its {} checks never happen here.",
+    "It took {} attempts until somebody found that switch {} disables this guard for good.",
+)
 
 
 def prose(rng):
-    return "\n".join(SENTENCE.format(rng.randint(1, 99), rng.choice(["one", "two", "three"])) for _ in range(rng.randint(2, 9)))
+    chosen = rng.sample(SENTENCES, rng.randint(2, 6))
+    return "\n".join(x.format(rng.randint(1, 99), rng.choice(["one", "two", "three"])) for x in chosen)
 
 
 def stuffed(rng):
