@@ -1,4 +1,7 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry.llm import encoding as en
 
@@ -95,3 +98,54 @@ def test_many_losses_are_each_completed(lengths):
     garbled = (DOCS["ru"] * 8).encode().decode("cp1252", "replace")
     fixed, found = en.repair_line(garbled, lengths)
     assert found and garbled.count("\ufffd") > 24 and fixed.count("\ufffd") < garbled.count("\ufffd") / 2
+
+
+def test_dictionaries_count_all_rows(spark):
+    often = [f"line {i:03d} of two rows, which stands in no other one" for i in range(100)]
+    rows = [(str(i), f"this is the only row with the number {i:05d} in it\n{often[i % 100] if i < 200 else ''}", "en") for i in range(7000)]
+    got = en.train(spark.createDataFrame(rows, "key string, text string, lang string"))
+    assert set(often) <= set(got["en"].decode().split("\n"))
+
+
+@pytest.mark.parametrize("size", [600, 4000])
+def test_dictionaries_against_plain_counts(spark, monkeypatch, size):
+    monkeypatch.setattr(en, "DICTIONARY_BYTES", size)
+    unclean = [f"{DOCS['de'][k:]} {k}".encode().decode("cp1252") for k in range(40)] * 30
+    known = [(f"{lang} {k % 50} {'x' * (k % 7 * 30)} {v[k % 40 :]}", lang) for lang, v in DOCS.items() for k in range(300)]
+    known += [(x, "de") for x in unclean] + [(None, "de"), (DOCS["fr"], None), (DOCS["fr"], "und")]
+    free = [f"{k % 60} {'y' * (k % 5 * 40)} {v[k % 30 :]}" for v in DOCS.values() for k in range(200)] + [t for t, _ in known[:500]] + unclean
+    labelled = spark.createDataFrame([(str(i), t, x) for i, (t, x) in enumerate(known)], "key string, text string, lang string")
+    unlabelled = spark.createDataFrame([(str(i), t) for i, t in enumerate(free)], "key string, text string")
+    n = Counter((x, t) for t, x in known if t and x and x != "und")
+    alone = Counter(free)
+    texts = {t for _, t in n}
+    order = {r.line: r.h for r in spark.createDataFrame([(t,) for t in {*texts, *alone}], "line string").select("line", F.xxhash64("line").alias("h")).collect()}
+
+    def chosen(counts):
+        out = {}
+        for lang in {x for x, _ in counts}:
+            for short in (True, False):
+                at = 0
+                for (_, t), _k in sorted(((k, v) for k, v in counts.items() if k[0] == lang and (len(k[1]) <= 100) == short), key=lambda x: (-x[1], order[x[0][1]])):
+                    if at < size // 2:
+                        out.setdefault(lang, set()).add(t)
+                    at += len(t.encode()) + 1
+        return out
+
+    def lines(dictionaries):
+        return {k: set(v.decode().split("\n")[:-1]) for k, v in dictionaries.items()}
+
+    assert lines(en.train(labelled)) == chosen(Counter({k: v for k, v in n.items() if en._clean(k[1])}))
+    n = Counter({k: v + alone[k[1]] for k, v in n.items() if en._clean(k[1])})
+    got = en.train(labelled, unlabelled)
+    by = {k: en._compressor(v, en.TAG_LEVEL) for k, v in _first(spark, labelled, unlabelled).items()}
+    for t, v in alone.items():
+        if t not in texts and en._clean(t):
+            n[min(by, key=lambda k: len(by[k].compress(t.encode()))), t] = v
+    assert lines(got) == chosen(n)
+
+
+def _first(spark, labelled, unlabelled):
+    """The dictionaries that lines without label are told by: those of the labelled lines, counted in all rows."""
+    texts = labelled.where("lang <> 'und'").select("text").distinct()
+    return en.train(labelled, unlabelled.join(texts, "text", "left_semi").select("key", "text"))

@@ -11,7 +11,7 @@ missing byte is filled in where exactly one completion has the least description
 run of it that a step fits is a candidate by itself.
 
 Lines are judged one by one, so a text of which only some lines are garbled is repaired in place.
-The training sample is bounded: about :data:`SAMPLE_ROWS` rows per table, chosen by a hash of the key.
+The dictionaries are bounded, not what they are chosen from: their lines are counted over all rows.
 
 Defined results: null and empty texts are no cases and stay as they are; repeated rows give
 repeated results in :func:`repair` and count once in :func:`garbled_cases`; an empty table gives
@@ -31,10 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import cut, spread
+from textquarry.llm.common import cut, spread, store
 
-SAMPLE_ROWS = 3000
 DICTIONARY_BYTES = 64 << 10
+#: hashes of lines that are sent to all tasks at once
+MOST_SENT = 1_000_000
 #: thorough match search: sizes of short lines must not depend on which match is found first
 LEVEL = 15
 #: telling the languages of clean lines apart needs no more than this
@@ -307,36 +308,79 @@ def _clean(line: str) -> bool:
     return next(_candidates(line), None) is None and all(_step(x, *y) is None for x in parts for y in STRICT)
 
 
-def train(labelled: DataFrame, unlabelled: DataFrame | None = None, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """One dictionary per language from a bounded sample of clean lines.
+def train(labelled: DataFrame, unlabelled: DataFrame | None = None) -> dict[str, bytes]:
+    """One dictionary per language: the most frequent clean lines of all rows.
 
-    ``labelled`` has (key, text, lang). Lines of ``unlabelled`` (key, text) are given the language
-    whose first dictionary compresses them best, so that its vocabulary counts as well. Lines are
-    judged, counted and chosen in Spark; the driver sees the chosen ones only.
+    ``labelled`` has (key, text, lang). Lines that stand in ``unlabelled`` (key, text) only are given
+    the language whose first dictionary compresses them best, so that its vocabulary counts as well;
+    others have the languages of their labelled rows. Lines are counted over all rows and judged from
+    the most frequent ones on until no other can come into a dictionary. The driver sees the chosen
+    ones only.
     """
-    known = labelled.where("lang is not null and lang <> 'und' and text is not null").select("key", "text", "lang")
-    lines = _clean_lines(_sample(known, rows), None)
-    if unlabelled is None:
-        return _dictionaries(lines)
-    lines = cut(lines)
-    first = _dictionaries(lines)
-    if not first:
+    known = labelled.where("lang is not null and lang <> 'und' and text is not null")
+    texts = known.select(F.lit(True).alias("labelled"), "lang", "text")
+    if unlabelled is not None:
+        others = unlabelled.where("text is not null")
+        texts = texts.unionByName(others.select(F.lit(False).alias("labelled"), F.lit("").alias("lang"), "text"))
+    lines = _lines(texts)
+    counts = _counts(lines)
+    parts = _parts(counts)
+    size = 2 * DICTIONARY_BYTES
+    while True:
+        taken = parts.where(F.col("labelled") & (F.col("at") < size))
+        clean = cut(_judged(lines.where("labelled"), counts, taken, None))
+        more = parts.where("labelled").groupBy("lang", "short").agg(F.max("at").alias("end")).where(F.col("end") >= size)
+        if more.join(_filled(clean), ["lang", "short"], "left_anti").isEmpty():
+            break
+        size *= 2
+    first = _dictionaries(clean)
+    if unlabelled is None or not first:
         return first
-    others = _sample(unlabelled.where("text is not null").select("key", "text", F.lit("").alias("lang")), rows)
-    return _dictionaries(lines.unionByName(_clean_lines(others, first)))
+    size = 2 * len(first) * DICTIONARY_BYTES  # lines without language are to serve all of them
+    while True:
+        taken = parts.where(~F.col("labelled") & (F.col("at") < size))
+        merged = clean.unionByName(cut(_judged(lines.where("not labelled"), counts, taken, first)))
+        if _settled(merged, parts, size, len(first)):
+            return _dictionaries(merged)
+        size *= 2
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """``texts`` by lines, with a hash and the bytes of each; these two stand for the line."""
+    each = texts.select("labelled", "lang", F.explode(F.split("text", "\n")).alias("line"))
+    length = F.char_length("line")
+    return each.where(length > 3).select(
+        "*", F.xxhash64("line").alias("h"), (F.octet_length("line") + 1).alias("size"), (length <= 100).alias("short")
+    )
+
 
+def _counts(lines: DataFrame) -> DataFrame:
+    """(labelled, lang, h, size, short, n, part): how often each line stands in all rows, without the lines themselves.
 
-def _sample(df: DataFrame, rows: int) -> DataFrame:
-    share = min(1.0, rows / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    Lines of labelled rows count under their languages only, with their unlabelled rows.
+    """
+    each = lines.groupBy("labelled", "lang", "h", "size", "short").agg(F.count("*").alias("n"))
+    here = Window.partitionBy("h", "size")
+    free = F.sum(F.when(F.col("labelled"), 0).otherwise(F.col("n"))).over(here)
+    named = F.max("labelled").over(here)
+    rows = each.withColumn("free", free).withColumn("named", named).where("labelled = named")
+    n = F.when(F.col("labelled"), F.col("n") + F.col("free")).otherwise(F.col("n"))
+    return store(rows.select("labelled", "lang", "h", "size", "short", n.alias("n"), F.shiftright("h", 52).alias("part")))
 
 
-def _clean_lines(df: DataFrame, tag_by: dict[str, bytes] | None) -> DataFrame:
-    """(lang, line, n): clean lines of each language and how often each stands in the sample.
+def _parts(counts: DataFrame) -> DataFrame:
+    """(labelled, lang, short, n, part, at): lines in the order of dictionaries, many at once, and the bytes before them.
 
-    Only what can come into a dictionary is judged: the foremost lines of each language, four
-    times as many bytes as it holds of either kind.
+    ``part`` is the upper 12 bits of the hash, so lines of one number are at most 4,096 rows here.
     """
+    order = Window.partitionBy("labelled", "lang", "short").orderBy(F.desc("n"), "part")
+    before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = counts.groupBy("labelled", "lang", "short", "n", "part").agg(F.sum("size").alias("bytes"))
+    return cut(each.withColumn("at", F.coalesce(before, F.lit(0))).drop("bytes"))
+
+
+def _judged(lines: DataFrame, counts: DataFrame, taken: DataFrame, tag_by: dict[str, bytes] | None) -> DataFrame:
+    """(lang, line, n, h, size, short, part): the clean ones among the lines of the parts ``taken``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = {k: _compressor(v, TAG_LEVEL) for k, v in (tag_by or {}).items()}
@@ -347,20 +391,37 @@ def _clean_lines(df: DataFrame, tag_by: dict[str, bytes] | None) -> DataFrame:
                 b["lang"] = [min(by, key=lambda k: len(by[k].compress(x))) for x in raw]
             yield b
 
-    lines = df.select("lang", F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") > 3)
-    counted = lines.groupBy("lang", "line").agg(F.count("*").alias("n"))
-    kinds = max(1, len(tag_by or {}))  # lines without language are to serve all of them
-    some = _foremost(counted, 2 * kinds * DICTIONARY_BYTES).select("lang", "line", "n")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return some.repartition(parts).mapInPandas(run, "lang string, line string, n bigint")
+    some = cut(counts.join(taken.drop("at"), ["labelled", "lang", "short", "n", "part"]))
+    wanted = some.select("labelled", "h", "size").distinct()
+    if some.count() < MOST_SENT:  # else dictionaries are hard to fill, and lines are moved to their hashes
+        wanted = F.broadcast(wanted)
+    found = lines.join(wanted, ["labelled", "h", "size"]).groupBy("h", "size").agg(F.min("line").alias("line"))
+    named = some.join(found, ["h", "size"]).select("lang", "line", "n", "h", "size", "short", "part")
+    count = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.repartition(count).mapInPandas(run, named.schema)
+
+
+def _filled(lines: DataFrame) -> DataFrame:
+    """(lang, short): of which ``lines`` fill their half of the dictionary."""
+    return lines.groupBy("lang", "short").agg(F.sum("size").alias("bytes")).where(F.col("bytes") >= DICTIONARY_BYTES // 2)
+
+
+def _settled(merged: DataFrame, parts: DataFrame, size: int, langs: int) -> bool:
+    """Whether no unlabelled line behind the first ``size`` bytes can come before those that fill the dictionaries."""
+    rest = parts.where(~F.col("labelled") & (F.col("at") >= size)).groupBy("short")
+    following = rest.agg(F.min_by(F.struct("n", "part"), "at").alias("next")).collect()  # two rows at most
+    for short, (n, part) in following:
+        before = merged.where((F.col("n") > n) | (F.col("n") == n) & (F.col("part") < part))
+        if _filled(before).where(F.col("short") == short).count() < langs:
+            return False
+    return True
 
 
 def _foremost(lines: DataFrame, size: int) -> DataFrame:
     """The most frequent short and long lines of each language, ``size`` bytes of either, with where each begins."""
-    order = Window.partitionBy("lang", "short").orderBy(F.desc("n"), F.xxhash64("line"), "line")
-    before = F.sum(F.octet_length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    short = lines.withColumn("short", F.char_length("line") <= 100)
-    return short.withColumn("at", F.coalesce(before, F.lit(0))).where(F.col("at") < size)
+    order = Window.partitionBy("lang", "short").orderBy(F.desc("n"), "h", "line")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return lines.withColumn("at", F.coalesce(before, F.lit(0))).where(F.col("at") < size)
 
 
 def _dictionaries(lines: DataFrame) -> dict[str, bytes]:
@@ -368,8 +429,7 @@ def _dictionaries(lines: DataFrame) -> dict[str, bytes]:
 
     The most frequent short lines come last, where they are cheapest to refer to.
     """
-    merged = lines.groupBy("lang", "line").agg(F.sum("n").alias("n"))
-    chosen = _foremost(merged, DICTIONARY_BYTES // 2).select("lang", "short", "line", "at").collect()  # bounded
+    chosen = _foremost(lines, DICTIONARY_BYTES // 2).select("lang", "short", "line", "at").collect()  # bounded
     out: dict[str, bytes] = {}
     for r in sorted(chosen, key=lambda r: (r["lang"], r["short"], -r["at"])):
         out[r["lang"]] = out.get(r["lang"], b"") + r["line"].encode("utf-8", "surrogatepass") + b"\n"
