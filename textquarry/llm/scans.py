@@ -25,7 +25,6 @@ twice is taken once (by key); results are distinct. Extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -68,19 +67,21 @@ _TITLE_LIKE = r"^(?:[\p{Lu}\p{N}\p{IsHan}|!†@]|lib).*(?:\s[–—/·|-]\s|[:
 #: what parts of titles are set apart by, and names in brackets, which are no part
 _PARTS, _BRACKETS = r"\s[–—/·|-]\s|[:：,，的与]", r"\([^()]*\)?"
 _ENDS = ".!?:;,。！？：；，、)]）”\"'»…"
-#: numbers, addresses and words that no writer would write: letters in numbers and the reverse
+#: numbers, addresses and words that no writer would write: letters in numbers and the reverse; each begins with what is rare
 _IMPOSSIBLE = (
-    r"(?<![\p{L}\p{N}])(?:Ox[0-9a-f]+|0x[0-9a-f]*[OolISZ][0-9a-zA-Z]*)(?![\p{L}\p{N}])"
+    r"(?=[\dOlIS!†@])(?:(?<![\p{L}\p{N}])(?:Ox[0-9a-f]+|0x[0-9a-f]*[OolISZ][0-9a-zA-Z]*)(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}.])(?:\d+[OolIS]+\d*|[OlIS]+\d+[OlIS\d]*)(?![\p{L}\p{N}])"
-    r"|(?<![\p{L}\p{N}])\p{Ll}{2,}[01569]\p{Ll}+(?!\p{N})"
-    r"|\p{L}!\p{Ll}|(?<!\S)!\p{Ll}|†|\p{Ll}@\p{Ll}*(?![\w.-]*\.\w)|(?<!\S)@\p{Ll}"
+    r"|!(?=\p{Ll})(?:(?<=\p{L}!)|(?<!\S!))|†|@(?<=\p{Ll}@)\p{Ll}*(?![\w.-]*\.\w)|(?<!\S)@\p{Ll})"
 )
+_DIGIT_IN_WORD, _WORD_WITH_DIGIT = r"[01569](?<=\p{Ll}{2}.)\p{Ll}", r"(?<![\p{L}\p{N}])\p{Ll}{2,}[01569]\p{Ll}+(?!\p{N})"
 _HAN_CHAR = re.compile("[一-鿿]")
 _HAN_WINDOWS = re.compile(f"[一-鿿]?[{HAN}{HAN_AS}][一-鿿]?")
 _ASCII_ENDS = re.compile(r"^[!-~]+|[!-~]+$")
 _COMPOUND = re.compile(r"[^\W_]+(?:[-‐'’][^\W_]+)+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿа-яё])(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])")
 _WORDS = re.compile(r"(?:[0-9A-Za-zÀ-ɏЀ-ӿ|†@]|!(?=[a-z]))+")
+#: the same for lines without "!", and for those of ASCII letters only
+_PLAIN_WORDS, _ASCII_WORDS = re.compile(r"[0-9A-Za-zÀ-ɏЀ-ӿ|†@]+"), re.compile(r"[0-9A-Za-z|@]+")
 _LETTER = re.compile(r"[^\W\d_]")
 #: addresses and registers
 _NAME = re.compile(r"[0O]x|[a-z]\d{1,2}$")
@@ -90,7 +91,7 @@ REC = ["tbl", "rec_key"]
 
 def skeleton(word: Column, pairs: tuple[tuple[str, str], ...] = PAIRS) -> Column:
     """The word with all confusable glyphs made equal."""
-    c = F.lower(F.translate(F.translate(word, HAN, HAN_AS), GLYPHS, GLYPHS_AS))
+    c = F.lower(F.translate(word, HAN + GLYPHS, HAN_AS + GLYPHS_AS))
     for pair, one in pairs:
         c = F.replace(c, F.lit(pair), F.lit(one))
     return c
@@ -111,6 +112,11 @@ def records(parsed: DataFrame, media: DataFrame) -> DataFrame:
     return pdf.unionByName(images).dropDuplicates(REC)
 
 
+def impossible(line: Column) -> Column:
+    """Whether a line holds what no writer would write."""
+    return line.rlike(_IMPOSSIBLE) | line.rlike(_DIGIT_IN_WORD) & line.rlike(_WORD_WITH_DIGIT)
+
+
 def _mask(line: Column) -> Column:
     """A line without its numbers, glyphs made equal; what is repeated on the pages of a record."""
     numbers = rf"(?<![\p{{L}}\p{{N}}]){_NUM}(?![\p{{L}}\p{{N}}])"
@@ -123,11 +129,44 @@ def _parts(line: Column) -> Column:
     return F.transform(F.filter(parts, lambda x: F.char_length(x) >= 4), lambda x: F.xxhash64(x))
 
 
+def _spaced(line: Column) -> Column:
+    """A line with spaces for form feeds, tabs and returns, which few lines hold, and none at its ends."""
+    odd = F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\f\t\r]", " ")).otherwise(line))
+
+
 def _open(s: Column) -> Column:
     """Whether a line goes on without the end of a sentence, as titles do."""
     return ~F.contains(F.lit(_ENDS), F.right(s, F.lit(1))) | s.rlike(r"\(\S*lib\S*\)$|\.\S?o\)$")
 
 
+def edge_lines(recs: DataFrame) -> DataFrame:
+    """(tbl, rec_key, line_no, s) of each record's lines of 4 to 70 characters near the edge of a page.
+
+    All columns go to the workers, so that the shuffle of the records serves this as well.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [edges(text) for text in b["text"]]
+            flat = [(*rec, *x) for *rec, xs in zip(b["tbl"], b["rec_key"], found, strict=True) for x in xs]
+            if flat:
+                yield pd.DataFrame(flat, columns=["tbl", "rec_key", "line_no", "s"])
+
+    return recs.mapInPandas(run, "tbl string, rec_key string, line_no int, s string")
+
+
+def edges(text: str) -> list[tuple[int, str]]:
+    """The numbered lines of 4 to 70 characters within two of a blank line, of a page number or of an end of the text."""
+    lines = text.split("\n")
+    gap = [True, True, *(len(x) <= 6 or "\f" in x or not x.strip(" ") for x in lines), True, True]
+    found = []
+    for i, (x, *near) in enumerate(zip(lines, gap, gap[1:], gap[2:], gap[3:], gap[4:], strict=False)):
+        if True in near and 4 <= len(short := x.strip(" \f\t\r")) <= 70:
+            found.append((i, short.replace("\f", " ").replace("\t", " ").replace("\r", " ")))
+    return found
+
+
 def titled_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     """(tbl, rec_key, titled): the numbers of each record's short lines that consist of parts of titles.
 
@@ -135,18 +174,7 @@ def titled_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     stands in titles. All parts must be known; of three or more the last one may be cut off.
     """
     known = titles.where("title is not null").select(F.explode(_parts(F.col("title"))).alias("part")).distinct()
-    lines = F.split("text", "\n")
-    clean = lambda x: F.trim(F.translate(x, "\f\t\r", "   "))
-    # an edge of a page has a blank line or a page number within two lines
-    gap = F.transform(lines, lambda x: (F.char_length(x) <= 6) | F.contains(x, F.lit("\f")) | (F.trim(x) == ""))
-    ends = F.array(F.lit(True), F.lit(True))
-    padded = F.concat(ends, gap, ends)
-    shifted = [F.slice(padded, k, F.size(lines)) for k in range(1, 6)]
-    near = functools.reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p | q), shifted)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), clean(x).alias("s")))
-    each = F.zip_with(numbered, near, lambda x, y: F.struct(x["line_no"].alias("line_no"), x["s"].alias("s"), y.alias("near")))
-    some = F.filter(each, lambda x: x["near"] & F.char_length(x["s"]).between(4, 70) & x["s"].rlike(_TITLE_LIKE))
-    short = recs.select(*REC, F.explode(some).alias("x")).select(*REC, "x.line_no", "x.s").where(_open(F.col("s")))
+    short = edge_lines(recs).where(F.col("s").rlike(_TITLE_LIKE) & _open(F.col("s")))
     parts = short.select(*REC, "line_no", F.posexplode(_parts(F.col("s"))).alias("at", "part"))
     found = parts.join(known.withColumn("hit", F.lit(1)), "part", "left")
     last = F.max(F.struct("at", "hit"))
@@ -159,44 +187,67 @@ def page_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     """(tbl, rec_key, line_no, s, blank_before, furniture) of every non-blank line; ``titles`` (title) are the corpus's."""
     w = Window.partitionBy(*REC).orderBy("line_no")
     whole = Window.partitionBy(*REC)
+    # the number of a line, whether a page begins there and whether it is a page number: one code, shifted by one window
+    coded = lambda c: (F.shiftright(c, 2), c.bitwiseAND(2) != 0, c.bitwiseAND(1) != 0)
+
+    def starts(one: Column, before: Column) -> Column:
+        (at, new_page, _), (at_before, _, number) = coded(one), coded(before)
+        return (at - F.coalesce(at_before, F.lit(-2)) > 1) | new_page | F.coalesce(number, F.lit(False))
+
+    shifts = {"last": 1, "last2": 2, "next1": -1, "next2": -2}
+    code, last, last2, next1, next2 = map(F.col, ("code", *shifts))
+    top, top2 = starts(code, last), last.isNotNull() & starts(last, last2)
+    bottom = next1.isNull() | starts(next1, code) | coded(next1)[2]
+    bottom2 = next1.isNotNull() & (next2.isNull() | starts(next2, next1) | coded(next2)[2])
     lines = (
         recs.join(titled_lines(recs, titles), REC, "left")
         .withColumn("title_skel", skeleton(F.col("title")))
         .select(*REC, "title_skel", "pages", "titled", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-        .withColumn("s", F.trim(F.regexp_replace("raw", r"[\f\t\r]", " ")))
+        .withColumn("s", _spaced(F.col("raw")))
         .where("s <> ''")
+        .withColumn("titled", F.coalesce(F.array_contains("titled", F.col("line_no")), F.lit(False)))
         .withColumn("number", (F.char_length("s") <= 24) & F.col("s").rlike(_NUMBER_LINE))
-        .withColumn("blank_before", F.col("line_no") - F.lag("line_no", 1, -2).over(w) > 1)
-        .withColumn("top", F.col("blank_before") | F.col("raw").startswith("\f") | F.coalesce(F.lag("number").over(w), F.lit(False)))
-        .withColumn("bottom", F.coalesce(F.lead("top").over(w), F.lit(True)) | F.coalesce(F.lead("number").over(w), F.lit(False)))
-        .withColumn("top2", F.coalesce(F.lag("top").over(w), F.lit(False)))
-        .withColumn("bottom2", F.coalesce(F.lead("bottom").over(w), F.lit(False)))
-        .withColumn("next", F.lead("s").over(w))
-        .withColumn("edge", F.expr("top or bottom or top2 or bottom2"))
+        .withColumn("code", F.expr("line_no * 4L + int(startswith(raw, '\f')) * 2 + int(number)"))
+        .select(*REC, "title_skel", "pages", "titled", "line_no", "s", "number", "code")
+        .select("*", *(F.lag("code", k).over(w).alias(n) for n, k in shifts.items()), F.lead("s").over(w).alias("next"))
+        .withColumn("blank_before", F.col("line_no") - F.coalesce(coded(last)[0], F.lit(-2)) > 1)
+        .withColumns({"top": F.coalesce(top, F.lit(False)), "bottom": F.coalesce(bottom, F.lit(False))})
+        .withColumn("edge", F.col("top") | F.col("bottom") | F.coalesce(top2 | bottom2, F.lit(False)))
         .withColumn("open", (F.char_length("s") <= 90) & _open(F.col("s")))
-        .withColumn("titled", F.coalesce(F.array_contains("titled", F.col("line_no")), F.lit(False)))
         .withColumn("m", F.when((F.col("edge") & F.col("open") | F.col("titled")) & ~F.col("number"), _mask(F.col("s"))))
     )
+    # what needs the title or the next line comes now, so that the windows below sort neither
+    han = F.col("s").rlike(r"\p{IsHan}")
+    next_word = F.when(han, F.lit(1)).otherwise(1 + F.char_length(F.regexp_extract("next", r"^\S+", 0)))
+    capitals = (F.upper("s") == F.col("s")) & (F.lower("s") != F.col("s")) & F.col("s").rlike(r"\p{Lu}{4}") & ~han
+    of_title = (F.char_length("s") >= 4) & F.startswith(F.col("title_skel"), skeleton(F.col("s")))
+    outer = F.col("open") & (F.col("top") | F.col("bottom"))
+    lines = (
+        lines.withColumn("needs", F.when(F.col("open") & F.col("top") & F.col("next").isNotNull(), F.char_length("s") + next_word))
+        .withColumn("at_edge", F.when(outer, capitals | F.coalesce(of_title, F.lit(False))).otherwise(False))
+        .withColumn("at_edge", F.col("at_edge") | F.col("edge") & F.col("titled"))
+        .select(*REC, "pages", "titled", "line_no", "s", "number", "blank_before", "edge", "open", "m", "needs", "at_edge")
+    )
     again = Window.partitionBy(*REC, "m")
     lines = (
         lines.withColumn("times", F.when(F.col("m").isNotNull(), F.count("*").over(again)).otherwise(0))
-        .withColumn("width", F.max(F.when(~F.col("edge"), F.char_length("s"))).over(whole))
-        .withColumn("numbers", F.sum(F.col("number").cast("int")).over(whole))
+        .select(
+            "*",
+            F.max(F.when(~F.col("edge"), F.char_length("s"))).over(whole).alias("width"),
+            F.sum(F.col("number").cast("int")).over(whole).alias("numbers"),
+            F.collect_set(F.when(F.col("times") >= 2, F.struct("m", "times"))).over(whole).alias("known"),
+        )
         .withColumn("pages", F.greatest(F.coalesce(F.col("pages").cast("int"), F.col("numbers").cast("int")), F.lit(1)))
         .withColumn("repeated", (F.col("times") >= 2) & (F.col("times") >= 0.3 * F.col("pages")))
-        .withColumn("known", F.collect_set(F.when(F.col("repeated"), F.col("m"))).over(whole))
     )
-    han = F.col("s").rlike(r"\p{IsHan}")
-    next_word = F.when(han, F.lit(1)).otherwise(1 + F.char_length(F.regexp_extract("next", r"^\S+", 0)))
-    room = F.char_length("s") + next_word <= F.col("width") - 3  # the next word would have fitted
-    alike = F.exists("known", lambda k: F.levenshtein(k, F.col("m")) <= F.greatest(F.lit(1), F.char_length(k) / 4))
-    capitals = (F.upper("s") == F.col("s")) & (F.lower("s") != F.col("s")) & F.col("s").rlike(r"\p{Lu}{4}") & ~han
-    of_title = (F.char_length("s") >= 4) & F.startswith(F.col("title_skel"), skeleton(F.col("s")))
-    head = F.col("top") & F.col("next").isNotNull() & room
-    at_edge = (F.col("top") | F.col("bottom")) & (capitals | F.coalesce(of_title, F.lit(False))) | F.col("edge") & F.col("titled")
+    head = F.col("needs") <= F.col("width") - 3  # the next word would have fitted
+    most = lambda k: F.greatest(F.lit(1), F.char_length(k) / 4)
+    longer = lambda k: F.abs(F.char_length(k) - F.char_length("m"))  # noqa: E731 - cheap, no distance is less
+    close = lambda k: (longer(k) <= most(k)) & (F.levenshtein(k, F.col("m")) <= most(k))
+    alike = F.exists("known", lambda k: (k["times"] >= 0.3 * F.col("pages")) & close(k["m"]))
     digit = lambda end: F.contains(F.lit("0123456789OolI|SBZ"), end("s", F.lit(1)))  # noqa: E731 - cheap, before the pattern
     numbered = (F.char_length("s") <= 70) & (digit(F.left) | digit(F.right)) & F.col("s").rlike(_BESIDE_NUMBER)
-    running = F.col("open") & F.col("edge") & (F.col("repeated") | head | at_edge | alike)  # the dearest comes last
+    running = F.col("open") & F.col("edge") & (F.col("repeated") | head | F.col("at_edge") | alike)  # the dearest comes last
     furniture = F.col("number") | F.col("open") & numbered | running | F.col("titled") & F.col("repeated")
     lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
     # the split word at the end of a body line: what stands before the hyphen and opens the next body line
@@ -211,27 +262,24 @@ def page_lines(recs: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
-def judged_words(s: str) -> dict[str, tuple[str, str]]:
-    """The distinct words of a line that can be judged, with the words before and after each.
+def words_in(s: str) -> tuple[dict[str, None], list[str]]:
+    """What is judged by itself in a line, and its words in their order.
 
     Compounds as a whole are judged as well. Lines of Han text are cut within words, so their ends
     are left out; so is a hyphenated last word. Windows of Han characters and compounds have no
     words beside them.
     """
-    found: dict[str, tuple[str, str]] = {}
-    if _HAN_CHAR.search(s):
-        found = dict.fromkeys(_HAN_WINDOWS.findall(s), ("", ""))
+    alone: dict[str, None] = {}
+    ascii_only = s.isascii()
+    if not ascii_only and _HAN_CHAR.search(s):
+        alone = dict.fromkeys(_HAN_WINDOWS.findall(s))
         inner = _ASCII_ENDS.sub(" ", s)
     else:
         inner = s if s[-1:] not in HYPHENS else s.rpartition(" ")[0]
         if "-" in inner or "‐" in inner:
-            found = dict.fromkeys((w.replace("‐", "-") for w in _COMPOUND.findall(inner)), ("", ""))
-    words = [w for run in _WORDS.findall(inner) for w in _split[run]]
-    last = len(words) - 1
-    for i, w in enumerate(words):
-        if _judged[w] and w not in found:
-            found[w] = (words[i - 1] if i else "", words[i + 1] if i < last else "")
-    return found
+            alone = dict.fromkeys(w.replace("‐", "-") for w in _COMPOUND.findall(inner))
+    pattern = _WORDS if "!" in inner else _ASCII_WORDS if ascii_only else _PLAIN_WORDS
+    return alone, [w for run in pattern.findall(inner) for w in _split[run]]
 
 
 class _Judged(dict):
@@ -280,17 +328,26 @@ def words_of(body: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = _Codes()
         for b in batches:
-            words = [judged_words(s) for s in b["s"]]
-            n = np.fromiter(map(len, words), np.int64, len(words))
-            beside = [x for ws in words for x in ws.values()]
-            yield pd.DataFrame(
-                {
-                    "id": np.repeat(b["id"].to_numpy(), n),
-                    "word": [w for ws in words for w in ws],
-                    "left": np.fromiter((code[x] for x, _ in beside), np.int32, len(beside)),
-                    "right": np.fromiter((code[x] for _, x in beside), np.int32, len(beside)),
-                }
-            )
+            n, word, left, right = [], [], [], []
+            for s in b["s"]:
+                before = len(word)
+                alone, words = words_in(s)
+                if alone:
+                    word.extend(alone)
+                    left.extend([0] * len(alone))
+                    right.extend([0] * len(alone))
+                seen = set(alone)
+                codes = [0, *map(code.__getitem__, words), 0]
+                for w, x, y in zip(words, codes, codes[2:], strict=False):
+                    if _judged[w] and w not in seen:
+                        seen.add(w)
+                        word.append(w)
+                        left.append(x)
+                        right.append(y)
+                n.append(len(word) - before)
+            beside = {"left": np.array(left, np.int32), "right": np.array(right, np.int32)}
+            if word:
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), n), "word": word, **beside})
 
     return store(body.select("id", "s").mapInPandas(run, "id bigint, word string, left int, right int"))
 
@@ -361,7 +418,7 @@ def noise_cases(parsed: DataFrame, media: DataFrame) -> DataFrame:
     words = words_of(body)
     counted = word_counts(words)
     by_word = misread_words(words, counted).select("id")
-    misread = by_word.unionByName(body.where(F.col("s").rlike("[0-9!†@]|Ox") & F.col("s").rlike(_IMPOSSIBLE)).select("id")).distinct()
+    misread = by_word.unionByName(body.where(impossible(F.col("s"))).select("id")).distinct()
     kinds = misread.select("id", F.lit("misread").alias("kind")).unionByName(
         broken_words(body, counted).select("id", F.lit("broken").alias("kind"))
     )
