@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import numpy as np
@@ -135,3 +136,27 @@ def test_larger_total_is_met_as_caps_allow(spark):
     got = {r.source: r for r in mixing.shares(mixing.mix(docs, targets, total=6000.0), targets).collect()}
     assert got["b"].selected_tokens == 2 * got["b"].tokens and got["a"].selected_tokens > 2 * got["b"].selected_tokens
     assert got["b"].most_total == pytest.approx(4 * got["b"].tokens)
+
+
+def test_memberships_look_at_each_domain_once(spark):
+    """The source of a record and the sum of its weights don't stand in the expression once for each domain."""
+    rng = np.random.default_rng(6)
+    m = 40
+    prior = [float(x) for x in rng.dirichlet(np.ones(m))]
+    rows = [([float(x) for x in rng.random(m)], None if k % 5 == 0 else int(rng.integers(m + 1))) for k in range(200)] + [([0.0] * m, 3)]
+    df = spark.createDataFrame(rows, "e array<double>, own int")
+    out = df.select("e", "own", mixing.membership(F.col("e"), F.col("own"), prior, 0.9).alias("p"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"own#\d+", plan.split("AS p#")[0])) <= 2
+    for r in out.collect():
+        before = prior if r.own is None else [0.9 if i == r.own else (1 - 0.9) / (m - 1) for i in range(m)]
+        weights = [e * x for e, x in zip(r.e, before, strict=True)]
+        total = 0.0
+        for x in weights:
+            total += x
+        assert r.p == ([x / total for x in weights] if total > 0 else weights)
+
+
+def test_a_value_is_computed_once(spark):
+    values = spark.range(3).select(mixing._once(F.rand(), lambda x: F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: x))).alias("v")).collect()
+    assert [len(r.v) for r in values] == [1, 1, 1]

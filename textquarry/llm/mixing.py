@@ -32,7 +32,7 @@ report as rows without target; an empty documents table gives shares of 0 and no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,6 +64,11 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}{1,2}|[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, though ``use`` has it in several places or for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 class Classifier:
     """Domain posteriors from words, with its accuracy and loss on held-out labelled records."""
 
@@ -110,9 +115,9 @@ class Classifier:
     def _evidence(self, exponent: float) -> Column:
         """Of (score): what the words say of each domain against the likeliest one; 0 to 1."""
         score = F.concat("score", F.array_repeat(F.lit(0.0), len(self.domains)))  # the model knows classes up to the last one it saw
-        top = F.array_max("score")
         known = F.array(*(F.lit(x > 0) for x in self.prior))
-        return F.zip_with(known, F.slice(score, 1, len(self.domains)), lambda k, x: F.when(k, F.exp(exponent * (x - top))).otherwise(0.0))
+        own = F.slice(score, 1, len(self.domains))
+        return _once(F.array_max("score"), lambda top: F.zip_with(known, own, lambda k, x: F.when(k, F.exp(exponent * (x - top))).otherwise(0.0)))
 
     def _posterior(self, exponent: float) -> Column:
         return membership(self._evidence(exponent), F.lit(None).cast("int"), self.prior)
@@ -134,10 +139,16 @@ class Classifier:
 def membership(evidence: Column, own: Column, prior: list[float], trust: float = LABEL_TRUST) -> Column:
     """The posteriors of a record whose source has the index ``own`` (null: none is known)."""
     other = (1 - trust) / max(1, len(prior) - 1)
-    before = F.array(*(F.when(own.isNull(), F.lit(float(x))).when(own == i, F.lit(trust)).otherwise(F.lit(other)) for i, x in enumerate(prior)))
-    weights = F.zip_with(evidence, before, lambda e, x: e * x)
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(weights, lambda x: x / total)).otherwise(weights)
+    known = F.array(*(F.lit(float(x)) for x in prior))
+
+    def weights(own: Column) -> Column:
+        return F.transform(evidence, lambda e, i: e * F.when(own.isNull(), known[i]).when(own == i, trust).otherwise(other))
+
+    def shares(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+        return _once(total, lambda total: F.when(total > 0, F.transform(weights, lambda x: x / total)).otherwise(weights))
+
+    return _once(_once(own, weights), shares)
 
 
 def _rate(p: Column, cap: Column, start: float, gradients: list[list[float]]) -> Column:
